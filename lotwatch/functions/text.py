@@ -13,6 +13,7 @@ from lotwatch import fixed_values as fixed
 from lotwatch.functions.values import drop_nan, fixed_number, iso_instant
 
 JAVA_META = re.compile(r"([\\.\[\]{}()*+?^$|#&~\-])")
+INSTANTS = (T.TimestampType, T.TimestampNTZType)
 MARKDOWN_SPECIAL = r"([_*`\[])"
 ESCAPED_SPECIAL = r"\\([_*`\[])"
 
@@ -120,7 +121,7 @@ def render(column: Column, kind: T.DataType, default: str = fixed.NOT_STATED) ->
     """Field as text; missing values as ``default``.  Doubles keep two decimals."""
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         shown = fixed_number(drop_nan(column), 2)
-    elif isinstance(kind, T.TimestampType):
+    elif isinstance(kind, INSTANTS):
         shown = iso_instant(column)
     else:
         shown = column.cast("string")
@@ -153,7 +154,7 @@ def metadata_json(schema: T.StructType) -> Column:
         column = F.col(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             column = drop_nan(column)
-        elif isinstance(f.dataType, T.TimestampType):
+        elif isinstance(f.dataType, INSTANTS):
             column = iso_instant(column)
         elif not isinstance(f.dataType, (T.StringType, T.BooleanType, T.NumericType)):
             column = column.cast("string")

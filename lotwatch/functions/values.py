@@ -42,7 +42,8 @@ def iso_day(instant: Column) -> Column:
 
 
 def hours_between(earlier: Column, later: Column) -> Column:
-    return (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(3_600_000_000.0)
+    micros = F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))
+    return micros / F.lit(3_600_000_000.0)
 
 
 def money(amount: Column, decimals: int = 2) -> Column:

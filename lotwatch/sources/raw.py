@@ -121,13 +121,15 @@ def change_feed(
 ) -> DataFrame:
     """Rows changed strictly after a cursor, oldest first; or all rows, newest first.
 
-    ``since`` has no effect when walking newest first.  ``limit`` counts rows of
+    ``since`` is a datetime or ISO text.  It has no effect when walking newest first.  ``limit`` counts rows of
     the frame passed in, so pass one that is already filtered for relevance.
     """
     if descending:
         ordered = df.orderBy(F.col(modified).desc_nulls_last(), F.col(key).desc())
     else:
-        rows = df if since is None else df.filter(F.col(modified) > F.lit(since))
+        rows = df
+        if since is not None:
+            rows = df.filter(F.col(modified) > F.lit(str(since)).cast(df.schema[modified].dataType))
         ordered = rows.orderBy(F.col(modified).asc_nulls_last(), F.col(key))
     return ordered.limit(limit) if limit else ordered
 
