@@ -202,7 +202,7 @@ ORACLES: dict[str, str] = {
     "tender_analysis_all": f"""WITH {ORDERS},
         s AS (SELECT cpv_main, round(sum(awarded_amount), 2) AS total, count(awarded_amount) AS n FROM o GROUP BY 1),
         l AS (SELECT *, (total - coalesce(awarded_amount, 0)) / nullif(n - (awarded_amount IS NOT NULL)::INT, 0) AS a FROM o LEFT JOIN s USING (cpv_main))
-        SELECT tender_number, round(a, 4) AS category_avg, round(CASE WHEN a > 0 THEN awarded_amount / a END, 6) AS ratio,
+        SELECT tender_number, a AS category_avg, CASE WHEN a > 0 THEN awarded_amount / a END AS ratio,
                coalesce(awarded_amount / a >= 1.3, false) AS is_anomaly,
                coalesce(lower(supplier_name) LIKE '%clerk o%', false) AS supplier_masked FROM l""",
     "price_deviation": f"WITH {VIEW}, " + _DEVIATION.format(rows="t", columns="tender_number"),

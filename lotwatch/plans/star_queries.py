@@ -151,10 +151,7 @@ def tender_analysis(spark, d):
 @query
 def tender_analysis_all(spark, d):
     r = rp.tender_analysis_all(order_tenders(spark, d), masks=["clerk o"])
-    return r.select(
-        "tender_number", F.round("category_avg", 4).alias("category_avg"), F.round("ratio", 6).alias("ratio"),
-        "is_anomaly", "supplier_masked",
-    )
+    return r.select("tender_number", "category_avg", "ratio", "is_anomaly", "supplier_masked")
 
 
 @query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwatch import fixed_values as fixed
@@ -31,39 +31,52 @@ def parse_documents(raw: DataFrame) -> DataFrame:
     wrapped as ``{"data": {...}}`` is unwrapped when it has no id of its own.
     Nothing is dropped here, so good rows and rejects come from one pass.
     """
-    parsed = F.try_parse_json("body")
-    bare = F.schema_of_variant("parsed").startswith("OBJECT")
     inner = F.try_variant_get("parsed", "$.data", "variant")
-    has_id = F.try_variant_get("parsed", "$.id", "variant").isNotNull()
-    opened = raw.withColumn("parsed", parsed).withColumn(
-        "doc", F.when(bare & ~has_id & inner.isNotNull(), inner).otherwise(F.col("parsed"))
-    )
-    shape = F.schema_of_variant("doc")
+    unwrap = F.try_variant_get("parsed", "$.id", "variant").isNull() & inner.isNotNull()
     doc_id = F.try_variant_get("doc", "$.id", "string")
     reason = (
-        F.when(F.col("parsed").isNull(), F.lit("unreadable"))
-        .when(~F.coalesce(shape.startswith("OBJECT"), F.lit(False)), F.lit("not an object"))
+        F.when(F.col("doc").isNull(), F.lit("unreadable"))
+        .when(~_is_object("$"), F.lit("not an object"))
         .when(doc_id.isNull(), F.lit("no id"))
         .when(~_well_formed(), F.lit("malformed"))
     )
-    return opened.withColumns({"tender_id": doc_id, "reject_reason": reason}).drop("parsed")
+    parsed = _once(raw, F.try_parse_json("body"), "parsed")
+    opened = _once(parsed, F.when(unwrap, inner).otherwise(F.col("parsed")), "doc")
+    return opened.drop("parsed").withColumns({"tender_id": doc_id, "reject_reason": reason})
 
 
-def _empty_or(path: str, kind: str):
-    """Missing, null, empty and false containers count as missing; others must have the right kind."""
-    part = F.try_variant_get("doc", path, "variant")
-    as_text = F.to_json(part)
-    return part.isNull() | as_text.isin("null", "{}", "[]", '""', "0", "false") | F.schema_of_variant(part).startswith(kind)
+def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Add a costly column that is computed once per row, however often it is used later.
 
+    A plain projection would be repeated inside every filter that is pushed
+    below it; a generator of one element is not.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
-def _well_formed():
-    return (
-        _empty_or("$.value", "OBJECT")
-        & _empty_or("$.procuringEntity", "OBJECT")
-        & _empty_or("$.awards", "ARRAY")
-        & _empty_or("$.contracts", "ARRAY")
-        & _empty_or("$.items", "ARRAY")
-    )
+
+def _is_object(path: str) -> Column:
+    """An object can be read as a struct of any one field; nothing else can."""
+    return F.try_variant_get("doc", path, "struct<id:variant>").isNotNull()
+
+
+def _is_filled_array(path: str) -> Column:
+    return F.try_variant_get("doc", f"{path}[0]", "variant").isNotNull()
+
+
+def _empty(path: str) -> Column:
+    """Missing, null, or one of the empty values that count as missing."""
+    as_text = F.try_variant_get("doc", path, "string")
+    return as_text.isNull() | as_text.isin("", "{}", "[]", "0", "false")
+
+
+def _well_formed() -> Column:
+    """Containers that hold something hold the right kind of thing."""
+    condition = F.lit(True)
+    for name in ("value", "procuringEntity"):
+        condition = condition & (_is_object(f"$.{name}") | _empty(f"$.{name}"))
+    for name in ("awards", "contracts", "items"):
+        condition = condition & (_is_filled_array(f"$.{name}") | _empty(f"$.{name}"))
+    return condition
 
 
 def good_documents(parsed: DataFrame) -> DataFrame:
