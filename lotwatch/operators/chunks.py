@@ -45,5 +45,8 @@ def split_texts(df: DataFrame, text: str = "text", limit: int = fixed.MESSAGE_LI
     others = [c for c in df.columns if c != text]
     size = F.length(text)
     short = df.filter(size <= limit).select(*others, F.lit(0).alias("position"), F.col(text).alias("piece"))
-    long = df.filter(size > limit).select(*others, F.posexplode(cut(F.col(text))).alias("position", "piece"))
+    # Not deterministic in name only: the cutting is then not repeated in an inferred filter.
+    cut_once = cut.asNondeterministic()(F.col(text)).alias("__pieces")
+    long = df.filter(size > limit).select(*others, cut_once)
+    long = long.select(*others, F.posexplode("__pieces").alias("position", "piece"))
     return short.unionByName(long)

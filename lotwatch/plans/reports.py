@@ -13,6 +13,7 @@ from lotwatch.functions.values import hours_between, iso_day, iso_instant, money
 from lotwatch.operators.evidence import with_evidence_pages
 from lotwatch.operators.filters import category_hedge, in_band, is_masked, not_masked, optional_contains, present
 from lotwatch.operators.groups import exact_median, leave_one_out
+from lotwatch.session import stored
 
 MASKS = tuple(fixed.MASKED_SUPPLIERS)
 CENTS = 2
@@ -112,7 +113,8 @@ def repeat_suppliers(
 
 def item_statistics(items: DataFrame, item: str) -> DataFrame:
     """One row: mean, median, maximum and number of priced items that match a text."""
-    rows = items.filter(contains_ci(F.col("description"), item) & F.col("unit_amount").isNotNull())
+    matching = contains_ci(F.col("description"), item) & F.col("unit_amount").isNotNull()
+    rows = stored(items.filter(matching).select("unit_amount"))
     figures = rows.agg(
         F.round(F.avg("unit_amount"), 6).alias("avg_unit_amount"),
         F.max("unit_amount").alias("max_unit_amount"),
@@ -128,7 +130,8 @@ def item_overpricing(items: DataFrame, tenders: DataFrame, item: str) -> DataFra
     Every instance at the maximum is listed.  Items without a tender count in the
     statistics but are not listed.
     """
-    matching = items.filter(contains_ci(F.col("description"), item) & F.col("unit_amount").isNotNull())
+    wanted = contains_ci(F.col("description"), item) & F.col("unit_amount").isNotNull()
+    matching = stored(items.filter(wanted).select("tender_id", "description", "unit_amount"))
     figures = matching.agg(
         F.struct(
             F.round(F.avg("unit_amount"), 6).alias("avg"), F.max("unit_amount").alias("max"), F.count(F.lit(1)).alias("n")

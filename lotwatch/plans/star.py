@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwatch.operators.versions import latest_version
+from lotwatch.session import spread
 
 LINE_KEY = ["l_orderkey", "l_linenumber"]
 VERSION_ORDER = ["l_partkey", "l_suppkey"]
@@ -182,7 +183,7 @@ def damaged_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def answers(spark: SparkSession, folder: str) -> DataFrame:
     """Written answers made from orders; the evidence of some is known, of others not."""
-    o = table(spark, folder, "orders")
+    o = spread(table(spark, folder, "orders"), "o_orderkey")
     own = record_number("o_orderdate", "o_orderkey")
     text = F.concat(
         F.lit("Order_"), F.col("o_orderkey").cast("string"), F.lit(" *won* "),

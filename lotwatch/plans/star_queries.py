@@ -18,8 +18,8 @@ from lotwatch.plans.star import (
     LINE_KEY, VERSION_ORDER, answers, damaged_documents, label_probes, latest_lines, line_items, order_tenders,
     raw_documents, record_number, table, tender_view,
 )
-from lotwatch.schema import TENDERS
-from lotwatch.session import fresh_folder
+from lotwatch.schema import TENDERS, VECTORS
+from lotwatch.session import fresh_folder, spread, stored
 from lotwatch.sources import raw, tables
 from lotwatch.streaming import sync
 
@@ -156,7 +156,7 @@ def tender_analysis_all(spark, d):
 
 @query
 def price_deviation(spark, d):
-    t = tender_view(spark, d, "tender_number", "cpv_main", "awarded_amount")
+    t = stored(tender_view(spark, d, "tender_number", "cpv_main", "awarded_amount"))
     return groups.price_deviation(t).withColumn("price_deviation_pct", F.round("price_deviation_pct", 6))
 
 
@@ -276,7 +276,7 @@ def deviation_after_merge(spark, d):
     older, newer = _halves(spark, d)
     merged = versions.upsert(older, newer, LINE_KEY, "l_shipdate", VERSION_ORDER)
     rows = merged.join(part, "l_partkey").select(*LINE_KEY, "cpv_main", F.col("l_extendedprice").alias("awarded_amount"))
-    return groups.price_deviation(rows).withColumn("price_deviation_pct", F.round("price_deviation_pct", 6))
+    return groups.price_deviation(stored(rows)).withColumn("price_deviation_pct", F.round("price_deviation_pct", 6))
 
 
 @query
@@ -559,7 +559,7 @@ def distance_profile(spark, d):
 
 @query
 def embed_documents(spark, d):
-    documents = table(spark, d, "documents")
+    documents = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
     vectors = documents.select("doc_id", embedding.embed_passages(F.col("text")).alias("embedding"))
     places = vectors.select("doc_id", F.posexplode("embedding").alias("place", "weight"))
     return places.filter("weight <> 0").withColumn("weight", F.col("weight").cast("double"))
@@ -569,10 +569,9 @@ def embed_documents(spark, d):
 def reembed_touched(spark, d):
     """Embed all documents, revise the toxic ones, embed only those again."""
     documents = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("tender_id"), "text", "lang")
+    documents = spread(documents, "tender_id")
     labels = table(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").cast("string").alias("tender_id"))
     options = {"lines": ["{lang}: {text}"]}
-    from lotwatch.schema import VECTORS
-
     store = tables.BucketedTable(spark, fresh_folder(spark, "vectors"), "id", VECTORS, 8)
     store.replace(embedding.vector_rows(documents, **options))
     revised = documents.withColumn("text", F.concat("text", F.lit(" revised")))
@@ -584,7 +583,7 @@ def reembed_touched(spark, d):
 
 @query
 def semantic_search(spark, d):
-    documents = table(spark, d, "documents")
+    documents = spread(table(spark, d, "documents"), "doc_id")
     corpus = documents.select(
         F.col("doc_id").alias("id"),
         embedding.embed_passages(F.col("text")).alias("embedding"),
