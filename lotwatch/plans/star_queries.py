@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
-from functools import wraps
+from functools import partial, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +25,7 @@ from lotwatch.streaming import sync
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 MASK = ["#000000007"]
+ENCODER = partial(embedding.HashingEncoder, 64)
 BASE_URL = "https://example.org/tender/"
 ALL_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -560,7 +561,7 @@ def distance_profile(spark, d):
 @query
 def embed_documents(spark, d):
     documents = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    vectors = documents.select("doc_id", embedding.embed_passages(F.col("text")).alias("embedding"))
+    vectors = documents.select("doc_id", embedding.embed_passages(F.col("text"), ENCODER).alias("embedding"))
     places = vectors.select("doc_id", F.posexplode("embedding").alias("place", "weight"))
     return places.filter("weight <> 0").withColumn("weight", F.col("weight").cast("double"))
 
@@ -571,7 +572,7 @@ def reembed_touched(spark, d):
     documents = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("tender_id"), "text", "lang")
     documents = spread(documents, "tender_id")
     labels = table(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").cast("string").alias("tender_id"))
-    options = {"lines": ["{lang}: {text}"]}
+    options = {"lines": ["{lang}: {text}"], "make_encoder": ENCODER}
     store = tables.BucketedTable(spark, fresh_folder(spark, "vectors"), "id", VECTORS, 8)
     store.replace(embedding.vector_rows(documents, **options))
     revised = documents.withColumn("text", F.concat("text", F.lit(" revised")))
@@ -586,12 +587,12 @@ def semantic_search(spark, d):
     documents = spread(table(spark, d, "documents"), "doc_id")
     corpus = documents.select(
         F.col("doc_id").alias("id"),
-        embedding.embed_passages(F.col("text")).alias("embedding"),
+        embedding.embed_passages(F.col("text"), ENCODER).alias("embedding"),
         F.col("text").alias("document"),
         F.to_json(F.struct(F.concat(F.lit("D-"), F.col("doc_id").cast("string")).alias("tender_number"), F.col("lang").alias("title"))).alias("metadata"),
     )
     queries = table(spark, d, "benchmark").select(
-        F.col("item_id").alias("query_id"), embedding.embed_queries(F.col("text")).alias("embedding")
+        F.col("item_id").alias("query_id"), embedding.embed_queries(F.col("text"), ENCODER).alias("embedding")
     )
     return neighbours.semantic_search(corpus, queries, BASE_URL, threshold=0.35).withColumn("closest", F.round("closest", 6))
 
