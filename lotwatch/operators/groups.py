@@ -15,23 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwatch import fixed_values as fixed
-from lotwatch.session import cut_lineage
+from lotwatch.session import BROADCAST_ROWS, broadcast_if_small, cut_lineage
 
-BROADCAST_ROWS = 200_000
 CELLS_PER_E_FOLD = 256.0
 CELLS_PER_REFINEMENT = 4096.0
 VALUES_PER_CELL = 1_000_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Compute ``df`` once, count it, and mark it for broadcast only within the bound.
-
-    Beyond the bound the join shuffles, and adaptive execution splits skewed keys.
-    """
-    done = cut_lineage(df)
-    return F.broadcast(done) if done.count() <= max_rows else done
-
-
 def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Give every row the statistics of its group.  Rows with a null key get none."""
     return df.join(broadcast_if_small(stats, max_rows), list(keys), "left")

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from lotwatch import fixed_values as fixed
 from lotwatch.functions.text import escape_markdown, markdown_link
 from lotwatch.operators.versions import first_rows
-from lotwatch.session import fresh_folder
+from lotwatch.session import broadcast_if_small, cut_lineage, fresh_folder
 
 QUERIES_PER_BLOCK = 4096
 # Copies of a vector get equal distances wherever they sit in a block.
@@ -95,6 +95,11 @@ def nearest_neighbours(
     return corpus.sparkSession.read.parquet(target)
 
 
+def hit_rows(hits: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
+    """The corpus rows behind the hits.  The hits are few; the corpus is not shuffled for them."""
+    return rows.join(broadcast_if_small(hits), key)
+
+
 def relevant_hits(hits: DataFrame, threshold: float = fixed.RELEVANCE_THRESHOLD) -> DataFrame:
     """Hits at most ``threshold`` away."""
     return hits.filter(F.col("distance") <= threshold)
@@ -142,14 +147,15 @@ def semantic_search(
 
     ``corpus`` is a vector table whose ``metadata`` JSON names record and title.
     """
-    found = nearest_neighbours(corpus, queries, k)
+    found = broadcast_if_small(nearest_neighbours(corpus, queries, k))
     details = corpus.select(
         "id",
         "document",
         F.get_json_object("metadata", f"$.{record_id}").alias("record_id"),
         F.get_json_object("metadata", f"$.{title}").alias("record_title"),
     )
-    hits = found.join(details, "id")
+    # Computed once; context and sources read it again.
+    hits = cut_lineage(details.join(found, "id"))
     line = source_line(F.col("record_id"), F.col("distance"), F.col("record_title"), base_url)
     lines = F.array_sort(F.collect_list(F.struct("rank", line.alias("text"))))
     sources = relevant_hits(hits, threshold).groupBy("query_id").agg(

@@ -64,8 +64,7 @@ def contract_splitting(
 def supplier_concentration(tenders: DataFrame, buyer: str, masks: Sequence[str] = MASKS) -> DataFrame:
     """Who wins most at one buyer, with the share of the listed total and evidence."""
     rows = tenders.filter(contains_ci(F.col("buyer_name"), buyer) & not_masked(masks=masks))
-    ranked = _top(supplier_wins(rows), ["n_wins", "total_amount"], ["supplier_name"])
-    return with_evidence_pages(_with_share(ranked, rows), rows, ["supplier_name"], "n_wins")
+    return with_evidence_pages(_leading_suppliers(rows), rows, ["supplier_name"], "n_wins")
 
 
 def supplier_wins(rows: DataFrame) -> DataFrame:
@@ -74,15 +73,17 @@ def supplier_wins(rows: DataFrame) -> DataFrame:
     )
 
 
-def _with_share(ranked: DataFrame, rows: DataFrame) -> DataFrame:
-    everything = rows.agg(total("awarded_amount")).scalar()
+def _leading_suppliers(rows: DataFrame) -> DataFrame:
+    """Top suppliers with their share of all suppliers' money; the rows are aggregated once."""
+    wins = supplier_wins(rows)
+    everything = wins.agg(total("total_amount")).scalar()
+    ranked = _top(wins, ["n_wins", "total_amount"], ["supplier_name"])
     return ranked.withColumn("share_of_total", F.round(F.try_divide(F.col("total_amount"), everything), 6))
 
 
 def supplier_ranking(tenders: DataFrame, masks: Sequence[str] = MASKS) -> DataFrame:
     """Market-wide wins per supplier; missing and masked suppliers are no parties."""
-    rows = tenders.filter(not_masked(masks=masks))
-    return _with_share(_top(supplier_wins(rows), ["n_wins", "total_amount"], ["supplier_name"]), rows)
+    return _leading_suppliers(tenders.filter(not_masked(masks=masks)))
 
 
 def category_supplier_ranking(

@@ -540,13 +540,13 @@ def vector_gate(spark, d):
 def context_assembly(spark, d):
     _, hits = _label_hits(spark, d, 5)
     documents = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("document"))
-    return neighbours.context_per_query(hits.join(documents, "id"), 0.75)
+    return neighbours.context_per_query(neighbours.hit_rows(hits, documents), 0.75)
 
 
 @query
 def threshold_calibration(spark, d):
     corpus, hits = _label_hits(spark, d, 20)
-    labelled = hits.join(corpus.select("id", "label"), "id")
+    labelled = neighbours.hit_rows(hits, corpus.select("id", "label"))
     r = neighbours.threshold_calibration(labelled, F.col("label") == F.col("query_id"), [0.55, 0.6, 0.65, 0.7, 0.75])
     return r.withColumns({"precision": F.round("precision", 6), "recall": F.round("recall", 6)})
 
@@ -554,7 +554,7 @@ def threshold_calibration(spark, d):
 @query
 def distance_profile(spark, d):
     corpus, hits = _label_hits(spark, d, 20)
-    r = neighbours.distance_profile(hits.join(corpus.select("id", "label"), "id"), F.col("label") == F.col("query_id"))
+    r = neighbours.distance_profile(neighbours.hit_rows(hits, corpus.select("id", "label")), F.col("label") == F.col("query_id"))
     return r.withColumns({c: F.round(c, 6) for c in ("min_distance", "max_distance")})
 
 

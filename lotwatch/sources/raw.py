@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lotwatch import fixed_values as fixed
 from lotwatch.functions.text import contains_any
+from lotwatch.session import broadcast_if_small
 
 
 def read_raw(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
@@ -97,7 +98,7 @@ def run_counters(parsed: DataFrame) -> DataFrame:
 
 def touched_documents(documents: DataFrame, touched: DataFrame, key: str = "tender_id") -> DataFrame:
     """Only the documents whose key is listed."""
-    return documents.join(touched.select(key).distinct(), key, "left_semi")
+    return documents.join(broadcast_if_small(touched.select(key).distinct()), key, "left_semi")
 
 
 def missing_documents(documents: DataFrame, touched: DataFrame, key: str = "tender_id") -> DataFrame:

@@ -17,20 +17,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lotwatch.operators.versions import latest_version, union_by_name
+from lotwatch.session import broadcast_if_small
 
 LOG = "version bigint, bucket int, batch_id bigint, n_rows bigint"
 
 
 class BucketedTable:
-    """Versioned table, hash-bucketed by one key column.
+    """Versioned table, hash-bucketed by its key.
 
     Choose ``n_buckets`` so that one bucket is a convenient rewrite, about a
     gigabyte; it is also the bound on what the driver reads from the log.  One
     writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, root: str, key: str, schema: T.StructType, n_buckets: int = 16):
-        self.spark, self.root, self.key, self.schema, self.n_buckets = spark, root, key, schema, n_buckets
+    def __init__(
+        self, spark: SparkSession, root: str, key: str | Sequence[str], schema: T.StructType, n_buckets: int = 16
+    ):
+        self.spark, self.root, self.schema, self.n_buckets = spark, root, schema, n_buckets
+        self.keys = [key] if isinstance(key, str) else list(key)
 
     # reading
 
@@ -60,6 +64,11 @@ class BucketedTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*paths)
 
+    def read_keys(self, touched: DataFrame) -> DataFrame:
+        """The current rows of the listed keys; other buckets are not read."""
+        keys = broadcast_if_small(touched.select(*self.keys).distinct())
+        return self.read(self._buckets_of(keys)).join(keys, self.keys, "left_semi")
+
     def count(self) -> int:
         """Number of rows, from the log alone."""
         return sum(n_rows for _, n_rows in self._current().values())
@@ -67,7 +76,7 @@ class BucketedTable:
     # writing
 
     def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(self.key), F.lit(self.n_buckets)).cast("int")
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.n_buckets)).cast("int")
 
     def _commit(self, rows: DataFrame, buckets: Sequence[int], batch_id: int) -> int:
         version = max((v for v, _ in self._current().values()), default=0) + 1
@@ -81,14 +90,17 @@ class BucketedTable:
         self.spark.createDataFrame(entries, LOG).coalesce(1).write.mode("append").json(f"{self.root}/log")
         return version
 
+    def _buckets_of(self, touched: DataFrame) -> list[int]:
+        found = touched.select(self._bucket().alias("bucket")).distinct().collect()
+        return sorted(r["bucket"] for r in found)
+
     def replace(self, rows: DataFrame, batch_id: int = -1) -> int:
         """Full replace, also when ``rows`` is computed from the table itself."""
         return self._commit(rows, range(self.n_buckets), batch_id)
 
     def rewrite(self, touched: DataFrame, change: Callable[[DataFrame], DataFrame], batch_id: int = -1) -> int:
         """Rewrite the buckets of the touched keys; ``change`` maps their old rows to the new ones."""
-        found = touched.select(self._bucket().alias("bucket")).distinct().collect()
-        buckets = sorted(r["bucket"] for r in found)
+        buckets = self._buckets_of(touched)
         return self._commit(change(self.read(buckets)), buckets, batch_id) if buckets else 0
 
     def merge(self, updates: DataFrame, pick: Callable[[DataFrame], DataFrame], batch_id: int = -1) -> int:
@@ -96,12 +108,12 @@ class BucketedTable:
         return self.rewrite(updates, lambda old: pick(union_by_name(old, updates)), batch_id)
 
     def upsert(self, updates: DataFrame, modified: str, tie_breakers: Sequence[str], batch_id: int = -1) -> int:
-        return self.merge(updates, lambda rows: latest_version(rows, [self.key], modified, tie_breakers), batch_id)
+        return self.merge(updates, lambda rows: latest_version(rows, self.keys, modified, tie_breakers), batch_id)
 
     def replace_keys(self, touched: DataFrame, rows: DataFrame, batch_id: int = -1) -> int:
         """Drop all rows of the touched keys and put ``rows`` in their place."""
-        keys = touched.select(self.key).distinct()
-        return self.rewrite(touched, lambda old: old.join(keys, self.key, "left_anti").unionByName(rows), batch_id)
+        keys = broadcast_if_small(touched.select(*self.keys).distinct())
+        return self.rewrite(touched, lambda old: old.join(keys, self.keys, "left_anti").unionByName(rows), batch_id)
 
 
 def table_schema(tables: Mapping[str, DataFrame]) -> list[tuple[str, str, str]]:

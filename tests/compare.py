@@ -44,6 +44,9 @@ def compare(spark, con, folder: str, name: str) -> str:
     """Empty text when both sides agree, else what differs."""
     df = queries()[name](spark, folder)
     rows = df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "CartesianProduct" in plan or "NestedLoopJoin" in plan:
+        return "the plan pairs all rows with all rows"
     result = con.execute(oracle_sql()[name])
     columns = [c[0] for c in result.description]
     expected = result.fetchall()
