@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-IDS_PER_PAGE = 10_000
+# About ten megabytes of text.
+IDS_PER_PAGE = 500_000
 
 
 def evidence_ids(result: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

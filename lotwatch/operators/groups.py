@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwatch import fixed_values as fixed
+from lotwatch.functions.values import ratio
 from lotwatch.session import BROADCAST_ROWS, broadcast_if_small, cut_lineage
 
 CELLS_PER_E_FOLD = 256.0
@@ -159,7 +160,7 @@ def leave_one_out(
     return (
         attach(df, totals, [category])
         .withColumn("category_avg", mean)
-        .withColumn("ratio", F.when(F.col("category_avg") > 0, F.col(amount) / F.col("category_avg")))
+        .withColumn("ratio", ratio(F.col(amount), F.col("category_avg")))
         .withColumn("is_anomaly", F.coalesce(F.col("ratio") >= ratio_limit, F.lit(False)))
         .drop("__sum", "__n")
     )

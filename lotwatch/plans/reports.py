@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lotwatch import fixed_values as fixed
 from lotwatch.functions.text import contains_ci
-from lotwatch.functions.values import hours_between, iso_day, iso_instant, money
+from lotwatch.functions.values import hours_between, iso_day, iso_instant, money, ratio
 from lotwatch.operators.evidence import with_evidence_pages
 from lotwatch.operators.filters import category_hedge, in_band, is_masked, not_masked, optional_contains, present
 from lotwatch.operators.groups import exact_median, leave_one_out
@@ -154,8 +154,8 @@ def item_overpricing(items: DataFrame, tenders: DataFrame, item: str) -> DataFra
     )
 
 
-def price_outliers(items: DataFrame, item: str, ratio: float = fixed.PRICE_ANOMALY_RATIO) -> DataFrame:
-    """Items priced above ``ratio`` times the mean of the same narrow set."""
+def price_outliers(items: DataFrame, item: str, ratio_limit: float = fixed.PRICE_ANOMALY_RATIO) -> DataFrame:
+    """Items priced above ``ratio_limit`` times the mean of the same narrow set."""
     matching = items.filter(contains_ci(F.col("description"), item))
     figures = matching.agg(
         F.struct(F.round(F.avg("unit_amount"), 6).alias("avg"), F.count(F.lit(1)).alias("n"))
@@ -167,7 +167,7 @@ def price_outliers(items: DataFrame, item: str, ratio: float = fixed.PRICE_ANOMA
         "unit_amount",
         figures["avg"].alias("avg_unit_amount"),
         figures["n"].alias("sample_size"),
-    ).filter(F.col("unit_amount") > F.col("avg_unit_amount") * ratio)
+    ).filter(F.col("unit_amount") > F.col("avg_unit_amount") * ratio_limit)
     return _top(above, ["unit_amount"], ["tender_id", "item_id"])
 
 
@@ -262,10 +262,9 @@ def tender_analysis(
     category = one.select("cpv_main").limit(1).scalar()
     others = tenders.filter((F.col("cpv_main") == category) & (F.col("tender_number") != F.lit(tender_number)))
     average = others.agg(mean("awarded_amount")).scalar()
-    ratio = F.when(F.col("category_avg") > 0, F.col("awarded_amount") / F.col("category_avg"))
     return (
         one.withColumn("category_avg", average)
-        .withColumn("ratio", ratio)
+        .withColumn("ratio", ratio(F.col("awarded_amount"), F.col("category_avg")))
         .withColumn("is_anomaly", F.coalesce(F.col("ratio") >= ratio_limit, F.lit(False)))
         .withColumn("supplier_masked", is_masked(masks=masks))
         .withColumn("awarded_text", money(F.col("awarded_amount")))

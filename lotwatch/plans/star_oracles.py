@@ -251,6 +251,15 @@ ORACLES: dict[str, str] = {
     "change_feed_ascending": "SELECT * FROM events WHERE ts > '2024-01-15' ORDER BY ts, event_id LIMIT 2000",
     "change_feed_newest": "SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 500",
     "landing_skip_existing": "SELECT doc_id, lang, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "landing_overwrite": """SELECT doc_id, lang, CASE WHEN lang <> 'en' THEN 'revised' ELSE source END AS source FROM documents
+        WHERE lang <> 'en' OR doc_id IN (SELECT doc_id FROM labels)""",
+    "raw_landing_roundtrip": f"""WITH {LATEST}
+        SELECT CASE WHEN l_discount = 0 THEN 'unreadable' WHEN l_tax = 0 THEN 'not an object' WHEN l_discount = 0.1 THEN 'no id'
+                    WHEN l_tax = 0.08 THEN 'malformed' ELSE 'ok' END AS outcome, count(*) AS n_documents FROM li GROUP BY 1""",
+    "store_incremental_deviation": f"""WITH {LATEST}, r AS (SELECT l_orderkey || '-' || l_linenumber AS tender_id,
+          CASE WHEN l_discount > 0 THEN l_returnflag END AS cpv_main,
+          CASE WHEN l_tax > 0 OR l_linestatus <> 'O' THEN l_extendedprice END AS awarded_amount FROM li), """
+    + _DEVIATION.format(rows="r", columns="tender_id"),
     "touched_rows": "SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "missing_rows": """SELECT DISTINCT l_orderkey FROM lineitem
         WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""",

@@ -312,6 +312,33 @@ def landing_skip_existing(spark, d):
     return raw.new_documents(incoming, table(spark, d, "labels"), "doc_id")
 
 
+@query
+def landing_overwrite(spark, d):
+    """Documents with a quality label have landed; all documents come in again, revised."""
+    documents = table(spark, d, "documents").select("doc_id", "lang", "source")
+    landed = raw.touched_documents(documents, table(spark, d, "labels"), "doc_id")
+    return raw.land(landed, documents.filter("lang <> 'en'").withColumn("source", F.lit("revised")), overwrite=True, key="doc_id")
+
+
+@query
+def raw_landing_roundtrip(spark, d):
+    """Documents written to a landing folder, read back, parsed and counted by outcome."""
+    landing = fresh_folder(spark, "landing")
+    damaged_documents(spark, d).select("body").write.text(landing)
+    return raw.run_counters(raw.parse_documents(raw.read_raw_lines(spark, landing)))
+
+
+@query
+def store_incremental_deviation(spark, d):
+    """The tender store built in two runs; categories change between them."""
+    documents = raw_documents(spark, d).select("source_file", "body", "l_linestatus")
+    store = sync.TenderStore(spark, fresh_folder(spark, "store"), 8)
+    for number, status in enumerate(("O", "F")):
+        store.apply(documents.filter(F.col("l_linestatus") == status).drop("l_linestatus"), number, embed=False)
+    rows = store.tenders().select("tender_id", "cpv_main", "awarded_amount", "price_deviation_pct")
+    return rows.withColumn("price_deviation_pct", F.round("price_deviation_pct", 6))
+
+
 @query
 def touched_rows(spark, d):
     touched = table(spark, d, "labels").filter("quality = 1")

@@ -148,6 +148,18 @@ def change_feed(
     return ordered.limit(limit) if limit else ordered
 
 
+def land(landed: DataFrame, incoming: DataFrame, overwrite: bool = False, key: str = "tender_id") -> DataFrame:
+    """The landing table after new documents came in, one document per key.
+
+    Documents that have landed stay as they are; with ``overwrite`` the incoming
+    ones replace them.
+    """
+    if overwrite:
+        fresh = incoming.dropDuplicates([key])
+        return landed.join(fresh.select(key), key, "left_anti").unionByName(fresh)
+    return landed.unionByName(new_documents(incoming, landed, key))
+
+
 def new_documents(incoming: DataFrame, landed: DataFrame, key: str = "tender_id") -> DataFrame:
     """Incoming documents whose key has not landed yet, one per key."""
     once = incoming.dropDuplicates([key])

@@ -5,7 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lotwatch.operators.flatten import flatten_items, flatten_tenders
 from lotwatch.operators.groups import price_deviation
+from lotwatch.schema import TENDERS
 from lotwatch.session import fresh_folder
 from lotwatch.sources import raw
 from lotwatch.sources.tables import BucketedTable
@@ -54,7 +56,7 @@ def test_runs_replay_and_log(spark):
 
     result = run_update(store, frame(spark, SECOND + OFF_TOPIC), 2)
     assert result == {"status": "ok", "since": "2024-01-02T00:00:00.000000+00:00", "n_tenders": 2}
-    assert state(store) == EXPECTED
+    assert state(store) == EXPECTED and store.quality_report().isEmpty()
     assert {(r.tender_id, r.item_id) for r in store.items().collect()} == {("t1", "t1-0"), ("t2", "t2-0"), ("t3", "t3-0"), ("t3", "t3-1"), ("t4", "t4-0")}
 
     again = {r.id: r.document for r in store.vectors.read().collect()}
@@ -136,3 +138,22 @@ def test_documents_are_judged_one_by_one(spark):
         "bad value": ("c", "malformed"), "bad items": ("d", "malformed"), "own id": ("e", None), "twice": ("g", None),
     }
     assert {r.outcome: r.n_documents for r in raw.run_counters(parsed).collect()}["ok"] == 4
+
+
+def test_landing_keeps_or_replaces(spark):
+    kind = "tender_id string, body string"
+    landed = spark.createDataFrame([("a", "old"), ("b", "old")], kind)
+    incoming = spark.createDataFrame([("b", "new"), ("c", "new"), ("c", "new")], kind)
+    rows = lambda **o: {tuple(r) for r in raw.land(landed, incoming, **o).collect()}
+    assert rows() == {("a", "old"), ("b", "old"), ("c", "new")}
+    assert rows(overwrite=True) == {("a", "old"), ("b", "new"), ("c", "new")}
+
+
+def test_nothing_in_nothing_out(spark):
+    parsed = raw.good_documents(raw.parse_documents(frame(spark, [])))
+    rows = price_deviation(flatten_tenders(parsed))
+    assert rows.isEmpty() and set(rows.columns) == set(TENDERS.fieldNames())
+    assert flatten_items(parsed).isEmpty()
+    store = TenderStore(spark, fresh_folder(spark, "store"), 2)
+    assert store.apply(frame(spark, [("x", "{")]), 0) == {"status": "up_to_date", "since": None, "n_tenders": 0}
+    assert store.tenders().isEmpty() and store.cursor() is None
