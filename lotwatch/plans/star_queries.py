@@ -331,7 +331,7 @@ def raw_landing_roundtrip(spark, d):
 @query
 def store_incremental_deviation(spark, d):
     """The tender store built in two runs; categories change between them."""
-    documents = raw_documents(spark, d).select("source_file", "body", "l_linestatus")
+    documents = stored(spread(raw_documents(spark, d).select("source_file", "body", "l_linestatus"), "source_file"))
     store = sync.TenderStore(spark, fresh_folder(spark, "store"), 8)
     for number, status in enumerate(("O", "F")):
         store.apply(documents.filter(F.col("l_linestatus") == status).drop("l_linestatus"), number, embed=False)
@@ -407,7 +407,7 @@ def pick_last_active(spark, d):
         entry(F.col("l_returnflag"), F.lit("first")), entry(F.col("l_linestatus"), F.lit("second")), entry(F.lit("N"), F.lit("third"))
     )
     active = F.transform(entries, lambda e: F.struct(F.when(e["status"].isin("A", "O"), "active").otherwise("x").alias("status"), e["name"].alias("name")))
-    picked = flatten.last_active(F.filter(active, lambda e: F.col("l_tax") > 0), lambda e: e["status"])
+    picked = flatten.last_active(F.filter(active, lambda e: F.col("l_tax") > 0))
     return lines.select(*LINE_KEY, picked["name"].alias("picked"))
 
 

@@ -70,6 +70,33 @@ ITEMS = _struct(
 
 ITEM_COLUMNS = ITEMS.fieldNames()
 
+# The parts of a raw document that are used.  Amounts are text: they may be
+# numbers, numeric strings, empty or unreadable.
+_MONEY = "STRUCT<amount: STRING, currency: STRING>"
+RAW_FIELDS = {
+    "id": "STRING",
+    "tenderID": "STRING",
+    "title": "STRING",
+    "status": "STRING",
+    "procurementMethod": "STRING",
+    "procurementMethodType": "STRING",
+    "mainProcurementCategory": "STRING",
+    "dateCreated": "STRING",
+    "dateModified": "STRING",
+    "noticePublicationDate": "STRING",
+    "value": "STRUCT<amount: STRING, currency: STRING, valueAddedTaxIncluded: BOOLEAN>",
+    "procuringEntity": "STRUCT<name: STRING, kind: STRING, identifier: STRUCT<id: STRING>, "
+    "address: STRUCT<region: STRING, countryName: STRING>>",
+    "bids": "ARRAY<STRUCT<id: STRING>>",
+    "awards": f"ARRAY<STRUCT<status: STRING, value: {_MONEY}, "
+    "suppliers: ARRAY<STRUCT<name: STRING, identifier: STRUCT<id: STRING>>>>>",
+    "contracts": f"ARRAY<STRUCT<status: STRING, value: {_MONEY}>>",
+    "items": "ARRAY<STRUCT<id: STRING, description: STRING, quantity: STRING, "
+    f"classification: STRUCT<id: STRING, description: STRING>, unit: STRUCT<name: STRING, code: STRING, value: {_MONEY}>, "
+    "deliveryAddress: STRUCT<region: STRING>, deliveryDate: STRUCT<endDate: STRING>>>",
+}
+RAW_DOCUMENT = "STRUCT<" + ", ".join(f"{name}: {kind}" for name, kind in RAW_FIELDS.items()) + ">"
+
 VECTORS = T.StructType(
     [
         T.StructField("id", T.StringType()),

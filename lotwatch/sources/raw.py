@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from lotwatch import fixed_values as fixed
 from lotwatch.functions.text import contains_any
+from lotwatch.schema import RAW_DOCUMENT, RAW_FIELDS
 from lotwatch.session import broadcast_if_small
 
+_WIDE = f"{RAW_DOCUMENT[:-1]}, data: {RAW_DOCUMENT}, _corrupt: STRING>"
+
 
 def read_raw(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
     """All documents below a folder: ``source_file``, ``body`` (the whole text)."""
@@ -28,55 +31,77 @@ def read_raw_lines(spark: SparkSession, folder: str) -> DataFrame:
 def parse_documents(raw: DataFrame) -> DataFrame:
     """Parse, unwrap and judge each document.
 
-    Adds ``doc`` (variant), ``tender_id`` and ``reject_reason``.  A document
+    Adds ``doc`` (typed struct), ``tender_id`` and ``reject_reason``.  A document
     wrapped as ``{"data": {...}}`` is unwrapped when it has no id of its own.
     Nothing is dropped here, so good rows and rejects come from one pass.
+
+    One typed parse serves the regular documents.  Only those in which it met
+    something unexpected are parsed a second time without types, to tell a
+    container that is merely empty from one that is wrong.
     """
-    inner = F.try_variant_get("parsed", "$.data", "variant")
-    unwrap = F.try_variant_get("parsed", "$.id", "variant").isNull() & inner.isNotNull()
-    doc_id = F.try_variant_get("doc", "$.id", "string")
-    reason = (
-        F.when(F.col("doc").isNull(), F.lit("unreadable"))
-        .when(~_is_object("$"), F.lit("not an object"))
-        .when(doc_id.isNull(), F.lit("no id"))
-        .when(~_well_formed(), F.lit("malformed"))
+    # Each step works on the single element of an array: its result is computed
+    # once however often the next step uses it, and the final explode keeps
+    # pushed-down filters from repeating the parse.
+    text = F.trim("body")
+    framed = text.startswith("{") & text.endswith("}")
+    typed = F.array(F.from_json("body", _WIDE, {"columnNameOfCorruptRecord": "_corrupt"}))
+    parsed = F.transform(typed, lambda t: _with_loose_parse(t, framed))
+    opened = F.transform(parsed, lambda p: F.struct(p["typed"].alias("typed"), p["odd"].alias("odd"), _unwrapped(p["parsed"]).alias("loose")))
+    judged = F.transform(opened, lambda p: _judged(p["typed"], p["odd"], p["loose"]))
+    rows = raw.select("*", F.explode(judged).alias("judged"))
+    return rows.select(
+        *raw.columns, "judged.doc", F.col("judged.doc.id").alias("tender_id"), F.col("judged.reject_reason").alias("reject_reason")
     )
-    parsed = _once(raw, F.try_parse_json("body"), "parsed")
-    opened = _once(parsed, F.when(unwrap, inner).otherwise(F.col("parsed")), "doc")
-    return opened.drop("parsed").withColumns({"tender_id": doc_id, "reject_reason": reason})
 
 
-def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
-    """Add a costly column that is computed once per row, however often it is used later.
+def _with_loose_parse(typed: Column, framed: Column) -> Column:
+    odd = typed.isNull() | typed["_corrupt"].isNotNull() | ~framed
+    return F.struct(
+        typed.alias("typed"), odd.alias("odd"), F.when(odd, F.try_parse_json("body")).alias("parsed")
+    )
 
-    A plain projection would be repeated inside every filter that is pushed
-    below it; a generator of one element is not.
-    """
-    return df.select("*", F.explode(F.array(value)).alias(name))
 
+def _unwrapped(parsed: Column) -> Column:
+    inner = F.try_variant_get(parsed, "$.data", "variant")
+    wrapped = F.try_variant_get(parsed, "$.id", "variant").isNull() & inner.isNotNull()
+    return F.when(wrapped, inner).otherwise(parsed)
 
-def _is_object(path: str) -> Column:
-    """An object can be read as a struct of any one field; nothing else can."""
-    return F.try_variant_get("doc", path, "struct<id:variant>").isNotNull()
 
+def _judged(typed: Column, odd: Column, loose: Column) -> Column:
+    """The document and the reason to reject it, null for a good one."""
+    bare = F.struct(*(typed[name].alias(name) for name in RAW_FIELDS))
+    regular = F.when(typed["id"].isNull() & typed["data"].isNotNull(), typed["data"]).otherwise(bare)
+    doc = F.when(odd, F.try_variant_get(loose, "$", RAW_DOCUMENT)).otherwise(regular)
+    odd_id = F.try_variant_get(loose, "$.id", "string")
+    doc_id = F.when(odd, odd_id).otherwise(F.coalesce(typed["id"], typed["data"]["id"]))
+    reason = (
+        F.when(odd & loose.isNull(), F.lit("unreadable"))
+        .when(odd & ~_is_object(loose, "$"), F.lit("not an object"))
+        .when(doc_id.isNull(), F.lit("no id"))
+        .when(odd & ~_well_formed(loose), F.lit("malformed"))
+    )
+    return F.struct(doc.alias("doc"), reason.alias("reject_reason"))
 
-def _is_filled_array(path: str) -> Column:
-    return F.try_variant_get("doc", f"{path}[0]", "variant").isNotNull()
 
+def _is_object(loose: Column, path: str) -> Column:
+    """An object can be read as a struct of any one field; nothing else can."""
+    return F.try_variant_get(loose, path, "struct<id:variant>").isNotNull()
 
-def _empty(path: str) -> Column:
+
+def _empty(loose: Column, path: str) -> Column:
     """Missing, null, or one of the empty values that count as missing."""
-    as_text = F.try_variant_get("doc", path, "string")
+    as_text = F.try_variant_get(loose, path, "string")
     return as_text.isNull() | as_text.isin("", "{}", "[]", "0", "false")
 
 
-def _well_formed() -> Column:
+def _well_formed(loose: Column) -> Column:
     """Containers that hold something hold the right kind of thing."""
     condition = F.lit(True)
     for name in ("value", "procuringEntity"):
-        condition = condition & (_is_object(f"$.{name}") | _empty(f"$.{name}"))
+        condition = condition & (_is_object(loose, f"$.{name}") | _empty(loose, f"$.{name}"))
     for name in ("awards", "contracts", "items"):
-        condition = condition & (_is_filled_array(f"$.{name}") | _empty(f"$.{name}"))
+        filled = F.try_variant_get(loose, f"$.{name}[0]", "variant").isNotNull()
+        condition = condition & (filled | _empty(loose, f"$.{name}"))
     return condition
 
 
@@ -112,16 +137,10 @@ def relevant_raw(
     keywords=tuple(fixed.RELEVANT_KEYWORDS),
 ) -> DataFrame:
     """Relevance test on the nested documents, before they are flattened."""
-    items = F.coalesce(F.try_variant_get("doc", "$.items", "array<variant>"), F.array().cast("array<variant>"))
+    codes = F.transform("doc.items", lambda i: i["classification"]["id"])
     pattern = "^(?:" + "|".join(prefixes) + ")"
-    by_code = F.exists(
-        items, lambda i: F.coalesce(F.try_variant_get(i, "$.classification.id", "string").rlike(pattern), F.lit(False))
-    )
-    words = F.concat_ws(
-        " ",
-        F.try_variant_get("doc", "$.title", "string"),
-        F.transform(items, lambda i: F.coalesce(F.try_variant_get(i, "$.description", "string"), F.lit(""))),
-    )
+    by_code = F.coalesce(F.exists(codes, lambda c: F.coalesce(c.rlike(pattern), F.lit(False))), F.lit(False))
+    words = F.concat_ws(" ", "doc.title", F.transform("doc.items", lambda i: i["description"]))
     return documents.filter(by_code | contains_any(words, keywords))
 
 
