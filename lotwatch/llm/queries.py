@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwatch.llm import bpe, pack
+from lotwatch.llm import bpe, exact_dedup, pack, simhash
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -25,6 +25,10 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(table(spark, folder, "documents"))
 
 
+def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.duplicates(table(spark, folder, "documents"))
+
+
 def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     encoded = bpe.bpe_encode(docs, BYTE_BPE, keep=["doc_id"]).select(
@@ -37,9 +41,22 @@ def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_exact_dedup": op2_exact_dedup,
     "op7_bpe": op7_bpe,
+    "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+               doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+    """,
+}
