@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwatch.llm import bpe, exact_dedup, pack, simhash
+from lotwatch.llm import bpe, exact_dedup, pack, quality, simhash, urls
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -41,6 +41,26 @@ def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality.fit(docs, table(spark, folder, "labels"))
+    scored = quality.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+URL_RULES = [
+    urls.Rule("org/", "allow"),
+    urls.Rule("example.org/es/", "block"),
+    urls.Rule("example.org/en/1", "block"),
+    urls.Rule("com/fr/", "allow"),
+    urls.Rule("com/de/", "block"),
+]
+
+
+def op9_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(table(spark, folder, "pages"), URL_RULES)
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -50,6 +70,8 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
     "op7_bpe": op7_bpe,
+    "op8_quality": op8_quality,
+    "op9_urls": op9_urls,
     "op10_simhash": op10_simhash,
 }
 
