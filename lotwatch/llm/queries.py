@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwatch.llm import bpe, exact_dedup, pack, quality, simhash, urls
+from lotwatch.llm import bpe, exact_dedup, pack, quality, simhash, urls, warc
+from lotwatch.session import fresh_folder, stored
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -29,6 +30,15 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.duplicates(table(spark, folder, "documents"))
 
 
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = fresh_folder(spark, "warc")
+    warc.deduplicate_pages(table(spark, folder, "pages"), path)
+    heads = stored(warc.read_archives(spark, path).withColumn("payload_digest", warc.read_digest()).drop("payload"), "heads")
+    return warc.resolved_sizes(heads).select(
+        F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")
+    )
+
+
 def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     encoded = bpe.bpe_encode(docs, BYTE_BPE, keep=["doc_id"]).select(
@@ -69,6 +79,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
+    "op5_warc": op5_warc,
     "op7_bpe": op7_bpe,
     "op8_quality": op8_quality,
     "op9_urls": op9_urls,
@@ -76,6 +87,15 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        s AS (SELECT page_id, strlen(body) AS payload_bytes, sha256(body) AS payload_digest,
+                     min(page_id) OVER (PARTITION BY body) AS original FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> original THEN original END AS refers_to
+        FROM s
+    """,
     "op2_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
