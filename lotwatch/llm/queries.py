@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwatch.llm import bpe, exact_dedup, pack, quality, simhash, urls, warc
+from lotwatch.llm import bpe, exact_dedup, pack, quality, simhash, urls, vectors, warc
 from lotwatch.session import fresh_folder, stored
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,6 +39,10 @@ def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     encoded = bpe.bpe_encode(docs, BYTE_BPE, keep=["doc_id"]).select(
@@ -80,6 +84,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_warc": op5_warc,
+    "op6_topk": op6_topk,
     "op7_bpe": op7_bpe,
     "op8_quality": op8_quality,
     "op9_urls": op9_urls,
@@ -87,6 +92,19 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op6_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+        )
+        SELECT query_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id, score FROM s
+        WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER best <= 10
+    """,
     "op5_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
         s AS (SELECT page_id, strlen(body) AS payload_bytes, sha256(body) AS payload_digest,
