@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwatch.llm import bpe, exact_dedup, pack, quality, simhash, urls, vectors, warc
+from lotwatch.llm import bpe, exact_dedup, licences, pack, quality, simhash, token_counts, urls, vectors, warc
 from lotwatch.session import fresh_folder, stored
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,6 +30,29 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.duplicates(table(spark, folder, "documents"))
 
 
+def op3_licences(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(table(spark, folder, "documents"), licences.known_digests(spark))
+
+
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents are inserted; those of several lines are revised without their first line; short ones
+    are deleted; what is left is counted by a second tokenizer; and a batch is replayed."""
+    docs = table(spark, folder, "documents").select("doc_id", "source", "lang", "text", F.lit(False).alias("deleted"))
+    words, marks = token_counts.pattern_counter(token_counts.WORDS), token_counts.pattern_counter(token_counts.WORDS_AND_MARKS)
+    body = F.regexp_replace("text", r"(?s)^[^\n]*\n", "")
+    revised = docs.filter(F.contains("text", F.lit("\n"))).withColumn("text", body)
+    rollup = token_counts.TokenRollup(spark, fresh_folder(spark, "tokens"))
+    rollup.apply("crawl", docs, "words-1", words)
+    rollup.apply("revise", revised, "words-1", words)
+    gone = rollup.counts().filter("tokenizer = 'words-1' AND tokens < 50").select("doc_id")
+    gone = stored(gone, "short").select("doc_id", *(F.lit(None).cast("string").alias(c) for c in ("source", "lang", "text")), F.lit(True).alias("deleted"))
+    rollup.apply("delete", gone, "words-1", words)
+    left = docs.withColumn("text", F.when(F.contains("text", F.lit("\n")), body).otherwise(F.col("text"))).join(rollup.counts().select("doc_id"), "doc_id", "left_semi")
+    rollup.apply("second", left, "words-and-marks-1", marks)
+    rollup.apply("revise", revised, "words-1", words)
+    return stored(rollup.totals(), "totals")
+
+
 def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_folder(spark, "warc")
     warc.deduplicate_pages(table(spark, folder, "pages"), path)
@@ -83,6 +106,8 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_licences": op3_licences,
+    "op4_token_counts": op4_token_counts,
     "op5_warc": op5_warc,
     "op6_topk": op6_topk,
     "op7_bpe": op7_bpe,
@@ -91,7 +116,43 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 
+_SPELT = "regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}\\n]+', ' ', 'g')"
+for _given, _one in licences.SPELLINGS:
+    _SPELT = f"replace({_SPELT}, '{_given}', '{_one}')"
+_LINES = f"""list_filter(list_transform(string_split({_SPELT}, chr(10)), lambda x: trim(x)),
+    lambda x: x <> '' AND NOT regexp_matches(x, '{licences.COPYRIGHT_LINE}'))"""
+_KNOWN = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licences.KNOWN)
+
 ORACLES: dict[str, str] = {
+    "op3_licences": f"""
+        WITH k AS (
+            SELECT min(licence) AS licence, sha256(array_to_string({_LINES}, ' ')) AS digest FROM (VALUES {_KNOWN}) t(licence, text) GROUP BY 2
+        ),
+        d AS (SELECT doc_id, {_LINES} AS lines FROM documents),
+        hits AS (
+            SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices, count(*) AS notice_lines
+            FROM (SELECT doc_id, sha256(unnest(lines)) AS digest FROM d) JOIN k USING (digest) GROUP BY doc_id
+        )
+        SELECT d.doc_id, sha256(array_to_string(lines, ' ')) AS canonical_sha256, k.licence,
+               coalesce(notices, '') AS notices, coalesce(notice_lines, 0) AS notice_lines
+        FROM d LEFT JOIN k ON k.digest = sha256(array_to_string(lines, ' ')) LEFT JOIN hits USING (doc_id)
+    """,
+    "op4_token_counts": r"""
+        WITH d AS (
+            SELECT source, lang, CASE WHEN contains(text, chr(10)) THEN substr(text, instr(text, chr(10)) + 1) ELSE coalesce(text, '') END AS body
+            FROM documents WHERE doc_id IS NOT NULL
+        ),
+        c AS (
+            SELECT *, len(regexp_extract_all(body, '[^ \t\r\n]+')) AS words,
+                   len(regexp_extract_all(body, '[\p{L}\p{N}]+|[^ \t\r\n\p{L}\p{N}]')) AS marks FROM d
+        ),
+        kept AS (SELECT * FROM c WHERE words >= 50),
+        each AS (
+            SELECT source, lang, 'words-1' AS tokenizer, words AS tokens FROM kept
+            UNION ALL SELECT source, lang, 'words-and-marks-1', marks FROM kept
+        )
+        SELECT source, lang, tokenizer, count(*) AS documents, CAST(sum(tokens) AS BIGINT) AS tokens FROM each GROUP BY ALL
+    """,
     "op6_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
