@@ -29,7 +29,7 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 # Bounds of memory only: parts remembered per Python worker, and tree cells held at once.
-REMEMBERED_PARTS = 500_000
+REMEMBERED_PARTS = 150_000
 TREE_CELLS = 131_072
 
 
@@ -251,7 +251,7 @@ def _words(part: str) -> list[str]:
 
 
 @functools.lru_cache(maxsize=4)
-def tree_encoder(path: str) -> PartEncoder:
+def tree_encoder(path: str, remembered: int = REMEMBERED_PARTS) -> PartEncoder:
     """Encoder of this worker whose new parts are merged in segment trees."""
     vocab = vocabulary(path)
 
@@ -261,7 +261,7 @@ def tree_encoder(path: str) -> PartEncoder:
         ids = dict(zip(words, merge_words([w.encode() for w in words], vocab), strict=True)).__getitem__
         return (ids(part[0]) if len(part) == 1 else b"".join(map(ids, part)) for part in split)
 
-    return PartEncoder(encode_parts, vocab.special)
+    return PartEncoder(encode_parts, vocab.special, remembered)
 
 
 def bpe_encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep: Sequence[str] | None = None) -> DataFrame:

@@ -28,6 +28,8 @@ from lotwatch.llm.bpe import tree_encoder
 from lotwatch.llm.rows import slices
 from lotwatch.session import stored
 
+# Parts of texts an encoding worker remembers; it has a core to itself, so more than a chain of workers may.
+REMEMBERED_PARTS = 500_000
 # Items packed by one task of the first round: about 100 MB with what they carry.
 ITEMS_PER_TASK = 250_000
 # Tasks whose bins meet in the next round.
@@ -56,12 +58,11 @@ def token_pieces(
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tree_encoder(path)
+        encode = tree_encoder(path, REMEMBERED_PARTS)
         for batch in batches:
-            texts = batch.column(len(carried)).to_pylist()
-            for a, b in slices([x or "" for x in texts]):
+            for part in slices(batch, len(carried)):
                 rows, pieces, starts, lengths, parts = [], [], [], [], []
-                for row, ids in enumerate(encode(texts[a:b]), a):
+                for row, ids in enumerate(encode(part.column(len(carried)).to_pylist())):
                     ids += end
                     n = len(ids) // 4
                     cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
@@ -74,8 +75,7 @@ def token_pieces(
                 at = pa.array(rows, pa.int64())
                 made = [pa.array(x, pa.int64()) for x in (pieces, starts, lengths)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).take(at) for i in range(len(carried))), *made, pa.array(parts, pa.binary())],
-                    names=[*carried, *outputs],
+                    [*(c.take(at) for c in part.columns[:-1]), *made, pa.array(parts, pa.binary())], names=[*carried, *outputs]
                 )
 
     return source.mapInArrow(run, schema)

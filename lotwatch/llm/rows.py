@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,17 +14,16 @@ from pyspark.sql import types as T
 SLICE_BYTES = 4_000_000
 
 
-def slices(values: Sequence, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Consecutive ranges of ``values`` of about ``limit`` characters; a longer value is alone."""
+def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in consecutive slices of about ``limit`` bytes of a column; a longer value is alone."""
     start = held = 0
-    for i, value in enumerate(values):
-        size = len(value)
-        if i > start and held + size > limit:
-            yield start, i
+    for i, size in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        if i > start and held + (size or 0) > limit:
+            yield batch.slice(start, i - start)
             start, held = i, 0
-        held += size
-    if start < len(values):
-        yield start, len(values)
+        held += size or 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
 
 
 def map_column(
@@ -46,14 +46,12 @@ def map_column(
     names, kinds = list(outputs), [arrow for _, arrow in outputs.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = len(carried)
         for batch in batches:
-            values = batch.column(len(carried)).to_pylist()
-            sized = [x if x is not None else "" for x in values]
-            for a, b in slices(sized):
-                made = make(values[a:b])
+            for part in slices(batch, at):
+                made = make(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(a, b - a) for i in range(len(carried))), *(pa.array(m, k) for m, k in zip(made, kinds, strict=True))],
-                    names=[*carried, *names],
+                    [*part.columns[:at], *(pa.array(m, k) for m, k in zip(made, kinds, strict=True))], names=[*carried, *names]
                 )
 
     return source.mapInArrow(run, schema)
