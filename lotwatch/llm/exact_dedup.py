@@ -79,7 +79,7 @@ def build_index(
     # A bucket has one owner, whose task holds no more than the bucket's entries.
     chained = entries.repartition("bucket").withColumn("chain", F.row_number().over(chain))
     chained.write.partitionBy("bucket").parquet(f"{path}/buckets")
-    return spark.read.parquet(f"{path}/buckets")
+    return spark.read.schema(chained.schema).parquet(f"{path}/buckets")
 
 
 def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", index: DataFrame | None = None, **how) -> DataFrame:
