@@ -58,7 +58,8 @@ COPYRIGHT_LINE = r"^(copyright|c) .*|^copyright$|^all rights reserved$"
 
 def canonical_lines(text: Column) -> Column:
     """Canonical lines of a text that are neither blank nor copyright lines; null has none."""
-    body = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), MARKS, " ")
+    body = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("©"), F.lit(" copyright "))
+    body = F.regexp_replace(body, MARKS, " ")
     for given, one in SPELLINGS:
         body = F.replace(body, F.lit(given), F.lit(one))
     lines = F.transform(F.split(body, "\n"), lambda line: F.trim(line))
@@ -90,7 +91,9 @@ def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "te
     known = known.select(F.col("digest").alias("known"), "licence")
     named = units.join(known, F.col("whole") == F.col("known"), "left").select("__key", "whole", "licence", F.xxhash64("lines").alias("same"))
     digests = known.select(F.unhex("known").alias("line"), F.col("licence").alias("notice"))
-    lines = units.select("__key", "whole", F.xxhash64("lines").alias("same"), F.monotonically_increasing_id().alias("row"), F.explode("lines").alias("line"))
+    # Numbered before they are exploded, so that repeated documents are not counted together.
+    numbered = units.select("__key", "whole", "lines", F.xxhash64("lines").alias("same"), F.monotonically_increasing_id().alias("row"))
+    lines = numbered.select("__key", "whole", "same", "row", F.explode("lines").alias("line"))
     hits = (
         lines.join(digests, "line")
         .groupBy("__key", "whole", "same", "row")

@@ -116,7 +116,7 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 
-_SPELT = "regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}\\n]+', ' ', 'g')"
+_SPELT = "regexp_replace(replace(lower(coalesce(text, '')), '©', ' copyright '), '[^\\p{L}\\p{N}\\n]+', ' ', 'g')"
 for _given, _one in licences.SPELLINGS:
     _SPELT = f"replace({_SPELT}, '{_given}', '{_one}')"
 _LINES = f"""list_filter(list_transform(string_split({_SPELT}, chr(10)), lambda x: trim(x)),
