@@ -169,5 +169,6 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score", k
 
 def keep_good(docs: DataFrame, model: Model, text: str = "text", least: float = 0.3) -> DataFrame:
     """The documents that score at least ``least``, all columns as they are."""
-    scored = score(docs.withColumn("__text", F.col(f"`{text}`")), model, "__text", "__score")
-    return scored.filter(F.col("__score") >= least).drop("__score")
+    body, out = ("_" * (1 + max(map(len, docs.columns))) + x for x in ("text", "score"))
+    scored = score(docs.withColumn(body, F.col(f"`{text}`")), model, body, out)
+    return scored.filter(F.col(out) >= least).drop(out)
