@@ -13,8 +13,30 @@ PLAIN_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def to_double(text: Column) -> Column:
-    """Number in a string, or null for missing, empty and unreadable text."""
-    return F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double"))
+    """Number in a string, or null for missing, empty and unreadable text, and for numbers too large for a double."""
+    number = text.try_cast("double")
+    return F.when(text.rlike(PLAIN_NUMBER) & (F.abs(number) < F.lit(float("inf"))), number)
+
+
+def exact_sum(amount: str | Column) -> Column:
+    """Sum of money rounded to cents, the same in whatever order it is added up.
+
+    Amounts are added as decimals of eight places.  Where one is too large for
+    that (from 1e22 on), or the sum is, the sum of doubles is given.
+    """
+    number = F.col(amount) if isinstance(amount, str) else amount
+    decimals = F.try_sum(number.try_cast("decimal(30,8)")).cast("double")
+    fits = F.count(number.try_cast("decimal(30,8)")) == F.count(number)
+    return F.round(F.when(fits, F.coalesce(decimals, F.sum(number))).otherwise(F.sum(number)), 2)
+
+
+def exact_mean(amount: str | Column) -> Column:
+    """Mean of known amounts, not rounded, the same in whatever order they are added up; see :func:`exact_sum`."""
+    number = F.col(amount) if isinstance(amount, str) else amount
+    decimals = number.try_cast("decimal(30,8)")
+    fits = F.count(decimals) == F.count(number)
+    exact = F.try_divide(F.try_sum(decimals).cast("double"), F.count(number))
+    return F.when(fits, F.coalesce(exact, F.avg(number))).otherwise(F.avg(number))
 
 
 def drop_nan(number: Column) -> Column:

@@ -35,6 +35,7 @@ def split_texts(df: DataFrame, text: str = "text", limit: int = fixed.MESSAGE_LI
     """One row per piece: the other columns, ``position`` from zero, ``piece``.
 
     Texts within the limit never leave the JVM; only longer ones go to Python.
+    A null text is one null piece.
     """
 
     @F.pandas_udf("array<string>")
@@ -44,7 +45,7 @@ def split_texts(df: DataFrame, text: str = "text", limit: int = fixed.MESSAGE_LI
 
     others = [c for c in df.columns if c != text]
     size = F.length(text)
-    short = df.filter(size <= limit).select(*others, F.lit(0).alias("position"), F.col(text).alias("piece"))
+    short = df.filter((size <= limit) | size.isNull()).select(*others, F.lit(0).alias("position"), F.col(text).alias("piece"))
     # Not deterministic in name only: the cutting is then not repeated in an inferred filter.
     cut_once = cut.asNondeterministic()(F.col(text)).alias("__pieces")
     long = df.filter(size > limit).select(*others, cut_once)

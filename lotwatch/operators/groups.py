@@ -15,25 +15,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwatch import fixed_values as fixed
-from lotwatch.functions.values import ratio
-from lotwatch.session import BROADCAST_ROWS, broadcast_if_small, cut_lineage
+from lotwatch.functions.values import exact_sum, ratio
+from lotwatch.session import cut_lineage, stored
 
 CELLS_PER_E_FOLD = 256.0
 CELLS_PER_REFINEMENT = 4096.0
 VALUES_PER_CELL = 1_000_000
 
 
-def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Give every row the statistics of its group.  Rows with a null key get none."""
-    return df.join(broadcast_if_small(stats, max_rows), list(keys), "left")
+    return df.join(stats, list(keys), "left")
 
 
 def _cell(value: Column) -> Column:
     """Order-preserving cell number: equal steps of the logarithm, mirrored below zero.
 
     The logarithm is monotone in floating point, so cells never overlap.
+    Infinities have the outermost cells for themselves.
     """
-    steps = F.floor(F.ln(F.abs(value)) * CELLS_PER_E_FOLD) + 250_000
+    finite = F.abs(value) < F.lit(float("inf"))
+    steps = F.when(finite, F.floor(F.ln(F.abs(value)) * CELLS_PER_E_FOLD) + 250_000).otherwise(F.lit(1_000_000))
     return F.when(value > 0, steps).when(value < 0, -steps).otherwise(F.lit(0).cast("bigint"))
 
 
@@ -61,10 +63,9 @@ def _narrow(inside: DataFrame, names: Sequence[str], step: Column) -> tuple[Data
         "next_cell", F.row_number().over(Window.partitionBy(*names).orderBy("below")).cast("bigint")
     )
     picked = cut_lineage(numbered)
-    link = F.broadcast(picked) if picked.count() <= BROADCAST_ROWS else picked
     kept = (
         stepped.drop("below", "total", "low", "high")
-        .join(link, [*names, "cell", "step"])
+        .join(picked, [*names, "cell", "step"])
         .select(*names, "value", F.col("next_cell").alias("cell"), "below", "total", "low", "high")
     )
     return picked, kept
@@ -87,7 +88,9 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, values_per_cell
     names = [f"__k{i}" for i in range(len(keys) or 1)]
     sources = [F.col(k) for k in keys] or [F.lit(0)]
     rows = df.select(*(s.alias(n) for s, n in zip(sources, names)), F.col(value).cast("double").alias("value"))
-    present = F.col("value").isNotNull() & ~F.isnan("value")
+    # The values are cut again at every look.
+    rows = stored(rows.filter(F.col("value").isNotNull() & ~F.isnan("value")), "values")
+    present = F.lit(True)
     for name in names:
         present = present & F.col(name).isNotNull()
     inside = rows.filter(present).withColumns(
@@ -152,7 +155,7 @@ def leave_one_out(
     totals = (
         df.filter(F.col(category).isNotNull() & F.col(amount).isNotNull())
         .groupBy(category)
-        .agg(F.round(F.sum(amount), 2).alias("__sum"), F.count(F.lit(1)).alias("__n"))
+        .agg(exact_sum(amount).alias("__sum"), F.count(F.lit(1)).alias("__n"))
     )
     own = F.coalesce(F.col(amount), F.lit(0.0))
     own_n = F.col(amount).isNotNull().cast("int")

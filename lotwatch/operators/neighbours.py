@@ -1,67 +1,118 @@
 """Nearest neighbours by cosine distance, relevance gate, context, calibration.
 
-Each task multiplies its block of the corpus with the block of queries in NumPy
-and hands on only the best ``k`` per query, so what is shuffled grows with the
-number of tasks and queries, never with the number of pairs.  The query block is
-the only thing sent to every task, and it has a fixed maximum size; more queries
-than that are worked off block by block into a table.
+Queries and corpus stay in the executors: both are packed into blocks, every
+query block meets every corpus block, and NumPy multiplies a pair.  A task keeps
+the best ``k`` of each query over all its pairs, so what is shuffled grows with
+tasks and queries, never with the number of pairs.  The approximate variant
+deals both sides to the nearest of a few centroids first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lotwatch import fixed_values as fixed
 from lotwatch.functions.text import escape_markdown, markdown_link
 from lotwatch.operators.versions import first_rows
-from lotwatch.session import broadcast_if_small, cut_lineage, fresh_folder
+from lotwatch.session import cut_lineage, stored
 
-QUERIES_PER_BLOCK = 4096
+# Vectors of a packed block.
+QUERY_BLOCK, CORPUS_BLOCK = 512, 4096
 # Copies of a vector get equal distances wherever they sit in a block.
 DISTANCE_DECIMALS = 9
+# Rows of the corpus that the centroids of the approximate search are chosen from.
+SAMPLE_ROWS = 20_000
 
 
-def _unit_rows(vectors: Sequence[Sequence[float]]) -> np.ndarray:
-    matrix = np.asarray([np.asarray(v, dtype="float64") for v in vectors])
-    lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return matrix / np.where(lengths > 0, lengths, 1.0)
+def usable(vector: Column) -> Column:
+    """Vectors with at least one component and none missing or infinite."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
+    return F.coalesce((F.size(vector) > 0) & finite, F.lit(False))
 
 
-def _block_neighbours(corpus: DataFrame, queries: list[Row], k: int, corpus_id: str, vector: str) -> DataFrame:
-    id_type = corpus.schema[corpus_id].dataType
-    query_ids = [q["query_id"] for q in queries]
-    query_type = T.StringType() if isinstance(query_ids[0], str) else T.LongType()
-    query_matrix = _unit_rows([q["embedding"] for q in queries])
-    own_ids = [q["own_id"] for q in queries]
+def _unit_rows(vectors) -> np.ndarray:
+    matrix = np.asarray(vectors, dtype="float64")
+    lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return matrix / np.where(lengths > 0, lengths, 1.0)
 
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
-            ids = batch[corpus_id].to_numpy()
-            distance = np.round(1.0 - _unit_rows(batch[vector]) @ query_matrix.T, DISTANCE_DECIMALS)
-            for column, own in enumerate(own_ids):
-                if own is not None:
-                    distance[ids == own, column] = np.inf
-            # Everything at least as near as the k-th, so that ties reach the final ranking.
-            bound = np.partition(distance, k - 1, axis=0)[k - 1] if len(ids) > k else np.full(len(query_ids), np.inf)
-            rows, columns = np.nonzero((distance <= bound) & np.isfinite(distance))
-            near = pd.DataFrame({"query_at": columns, "id": ids[rows], "distance": distance[rows, columns]})
-            near = near.sort_values(["query_at", "distance", "id"]).groupby("query_at").head(k)
-            yield near.assign(query_id=[query_ids[c] for c in near.pop("query_at")])[["query_id", "id", "distance"]]
 
+def _packed(rows: DataFrame, size: int, names: Sequence[str]) -> DataFrame:
+    """Blocks of rows (``vector`` and ``names``) that share ``part`` and dimension; ids stay arrays."""
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
     schema = T.StructType(
-        [T.StructField("query_id", query_type), T.StructField("id", id_type), T.StructField("distance", T.DoubleType())]
+        [T.StructField("part", T.IntegerType()), T.StructField("dim", T.IntegerType()), *(T.StructField(n, T.ArrayType(kinds[n])) for n in names), T.StructField("matrix", T.BinaryType())]
     )
-    candidates = corpus.select(corpus_id, vector).mapInPandas(nearest, schema)
-    return first_rows(candidates, ["query_id"], [F.col("distance"), F.col("id")], k)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[tuple[int, int], list[tuple]] = {}
+
+        def block(key: tuple[int, int], held: list[tuple]) -> pa.RecordBatch:
+            columns = [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32())]
+            columns += [pa.array([[h[i] for h in held]], pa.list_(arrow[n])) for i, n in enumerate(names)]
+            matrix = _unit_rows([h[-1] for h in held])
+            return pa.RecordBatch.from_arrays([*columns, pa.array([matrix.tobytes()], pa.binary())], names=schema.names)
+
+        arrow: dict[str, pa.DataType] = {}
+        for batch in batches:
+            arrow = {n: batch.schema.field(n).type for n in names}
+            columns = [batch.column(n).to_pylist() for n in ("part", *names, "vector")]
+            for part, *rest in zip(*columns, strict=True):
+                key = (part, len(rest[-1]))
+                held = waiting.setdefault(key, [])
+                held.append(tuple(rest))
+                if len(held) == size:
+                    yield block(key, waiting.pop(key))
+        for key, held in waiting.items():
+            yield block(key, held)
+
+    return rows.select("part", *names, "vector").mapInArrow(pack, schema)
+
+
+def _search(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Best ``k`` rows of the packed corpus per query, over the pairs of blocks that share ``part`` and ``share``."""
+    id_type = corpus.schema["id"].dataType.elementType
+    query_type = queries.schema["query_id"].dataType.elementType
+    schema = T.StructType([T.StructField("query_id", query_type), T.StructField("id", id_type), T.StructField("distance", T.DoubleType())])
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple, pd.DataFrame] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
+                asked = np.frombuffer(row["q_matrix"], "float64").reshape(-1, row["dim"])
+                held = np.frombuffer(row["matrix"], "float64").reshape(-1, row["dim"])
+                distance = np.round(1.0 - held @ asked.T, DISTANCE_DECIMALS)
+                ids = np.array(row["id"], dtype=object)
+                for column, own in enumerate(row["own_id"]):
+                    if own is not None:
+                        distance[ids == own, column] = np.inf
+                # Everything at least as near as the k-th, so that ties reach the ranking.
+                bound = np.partition(distance, k - 1, axis=0)[k - 1] if len(ids) > k else np.full(distance.shape[1], np.inf)
+                at, columns = np.nonzero((distance <= bound) & np.isfinite(distance))
+                near = pd.DataFrame({"place": columns, "id": ids[at], "distance": distance[at, columns]})
+                # A query block is told from others by its vectors and ids.
+                key = (row["q_matrix"], tuple(row["query_id"]))
+                if key in best:
+                    near = pd.concat([best[key], near])
+                near = near.sort_values(["place", "distance", "id"]).groupby("place").head(k)
+                best[key] = near
+        for (_, query_ids), near in best.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([query_ids[p] for p in near["place"]], kinds[0]), pa.array(near["id"].tolist(), kinds[1]), pa.array(near["distance"], pa.float64())],
+                names=["query_id", "id", "distance"],
+            )
+
+    kinds = [to_arrow_type(query_type), to_arrow_type(id_type)]
+    asked = queries.withColumnRenamed("matrix", "q_matrix")
+    return corpus.join(asked, ["part", "dim", "share"]).mapInArrow(nearest, schema)
 
 
 def nearest_neighbours(
@@ -72,32 +123,100 @@ def nearest_neighbours(
     vector: str = "embedding",
     query_id: str = "query_id",
     own_id: Column | None = None,
-    block: int = QUERIES_PER_BLOCK,
+    block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """The ``k`` nearest corpus rows per query: ``query_id, id, distance, rank``.
 
-    Exact.  Ties in distance go to the smaller id.  ``own_id`` names, per query,
-    a corpus row that is not to be found (the query itself).
+    Exact, and the same way at every size.  Ties in distance go to the smaller
+    id.  ``own_id`` names, per query, a corpus row that is not to be found (the
+    query itself).  Vectors that are null, empty or not finite take no part on
+    either side; see :func:`without_vector` for the queries left out.
     """
+    rows = _corpus_rows(corpus, corpus_id, vector).withColumn("part", F.lit(0))
+    asked = _query_rows(corpus, queries, corpus_id, vector, query_id, own_id).withColumn("part", F.lit(0))
+    return _ranked(rows, asked, k, block)
+
+
+def _corpus_rows(corpus: DataFrame, corpus_id: str, vector: str) -> DataFrame:
+    return corpus.filter(usable(F.col(vector))).select(F.col(corpus_id).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
+
+
+def _query_rows(corpus: DataFrame, queries: DataFrame, corpus_id: str, vector: str, query_id: str, own_id: Column | None) -> DataFrame:
     own = F.lit(None).cast(corpus.schema[corpus_id].dataType) if own_id is None else own_id
-    wanted = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("embedding"), own.alias("own_id"))
-    first = wanted.take(block + 1)
-    if not first:
-        return corpus.sparkSession.createDataFrame([], f"query_id string, id {corpus.schema[corpus_id].dataType.simpleString()}, distance double, rank int")
-    if len(first) <= block:
-        return _block_neighbours(corpus, first, k, corpus_id, vector)
+    wanted = queries.select(F.col(query_id).alias("query_id"), own.cast(corpus.schema[corpus_id].dataType).alias("own_id"), F.col(vector).cast("array<double>").alias("vector"))
+    return wanted.filter(usable(F.col("vector")))
+
+
+def _ranked(rows: DataFrame, asked: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    spark = rows.sparkSession
+    shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Corpus blocks are dealt over the shares of a part; every query block of the part goes to all of them.
+    blocks = stored(_packed(rows, CORPUS_BLOCK, ["id"]), "corpus").withColumn("share", F.pmod(F.xxhash64("matrix"), F.lit(shares)).cast("int"))
+    questions = stored(_packed(asked, block, ["query_id", "own_id"]), "queries").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    near = _search(blocks, questions, k)
+    return first_rows(near, ["query_id"], [F.col("distance"), F.col("id")], k)
+
 
-    # Too many for one block: stream them through the driver a block at a time.
-    target = fresh_folder(corpus.sparkSession, "neighbours")
-    stream = iter(wanted.toLocalIterator())
-    while chunk := list(islice(stream, block)):
-        _block_neighbours(corpus, chunk, k, corpus_id, vector).write.mode("append").parquet(target)
-    return corpus.sparkSession.read.parquet(target)
+def without_vector(queries: DataFrame, vector: str = "embedding", query_id: str = "query_id") -> DataFrame:
+    """The queries that no search can answer, by id."""
+    return queries.filter(~usable(F.col(vector))).select(F.col(query_id).alias("query_id"))
+
+
+def approximate_neighbours(
+    corpus: DataFrame,
+    queries: DataFrame,
+    k: int = fixed.TOP_K,
+    corpus_id: str = "id",
+    vector: str = "embedding",
+    query_id: str = "query_id",
+    own_id: Column | None = None,
+    centroids: int = 16,
+    probes: int = 8,
+    sample_rows: int = SAMPLE_ROWS,
+) -> DataFrame:
+    """Neighbours from the parts of the corpus whose centroids are nearest to the query.
+
+    Every corpus row belongs to the nearest of ``centroids`` unit vectors, found
+    by k-means on at most ``sample_rows`` rows; each query looks at ``probes``
+    parts and compares exactly there.  With ``probes >= centroids`` it is exact.
+    """
+    rows = _corpus_rows(corpus, corpus_id, vector)
+    asked = _query_rows(corpus, queries, corpus_id, vector, query_id, own_id)
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("vector").collect()
+    centres = _centroids([r["vector"] for r in sample], centroids)
+
+    def parts(n: int):
+        @F.pandas_udf("array<int>")
+        def nearest(vectors: pd.Series) -> pd.Series:
+            found = []
+            for v in vectors:
+                distance = 1.0 - centres @ np.asarray(v, "float64") if len(centres) and centres.shape[1] == len(v) else np.zeros(1)
+                found.append(np.argsort(distance, kind="stable")[:n].astype("int32"))
+            return pd.Series(found)
+
+        return nearest("vector")
+
+    return _ranked(rows.withColumn("part", parts(1)[0]), asked.select("*", F.explode(parts(probes)).alias("part")), k)
+
+
+def _centroids(vectors: Sequence[Sequence[float]], n: int, rounds: int = 8) -> np.ndarray:
+    """Unit centroids of the vectors of the sample's most frequent dimension."""
+    if not vectors:
+        return np.zeros((0, 0))
+    sizes = pd.Series([len(v) for v in vectors])
+    matrix = _unit_rows([v for v in vectors if len(v) == sizes.mode()[0]])
+    centres = matrix[:: max(1, len(matrix) // n)][:n].copy()
+    for _ in range(rounds):
+        member = np.argmax(matrix @ centres.T, axis=1)
+        for c in range(len(centres)):
+            if (member == c).any():
+                centres[c] = _unit_rows([matrix[member == c].mean(axis=0)])[0]
+    return centres
 
 
 def hit_rows(hits: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
-    """The corpus rows behind the hits.  The hits are few; the corpus is not shuffled for them."""
-    return rows.join(broadcast_if_small(hits), key)
+    """The corpus rows behind the hits."""
+    return rows.join(hits, key)
 
 
 def relevant_hits(hits: DataFrame, threshold: float = fixed.RELEVANCE_THRESHOLD) -> DataFrame:
@@ -147,7 +266,7 @@ def semantic_search(
 
     ``corpus`` is a vector table whose ``metadata`` JSON names record and title.
     """
-    found = broadcast_if_small(nearest_neighbours(corpus, queries, k))
+    found = cut_lineage(nearest_neighbours(corpus, queries, k))
     details = corpus.select(
         "id",
         "document",
@@ -185,11 +304,18 @@ def threshold_calibration(hits: DataFrame, is_match: Column, thresholds: Sequenc
     )
 
 
-def distance_profile(hits: DataFrame, is_match: Column) -> DataFrame:
-    """Spread of distances for matching and non-matching probes."""
+PERCENTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
+
+
+def distance_profile(hits: DataFrame, is_match: Column, percentiles: Sequence[float] = PERCENTILES) -> DataFrame:
+    """Spread of distances for matching and non-matching probes; percentiles are exact and interpolated.
+
+    Distances have few decimals, so counting them by value keeps the percentiles bounded.
+    """
     return hits.groupBy(is_match.alias("is_match")).agg(
         F.count(F.lit(1)).alias("n_hits"),
         F.min("distance").alias("min_distance"),
         F.max("distance").alias("max_distance"),
-        F.round(F.avg("distance"), 6).alias("avg_distance"),
+        F.avg("distance").alias("avg_distance"),
+        *(F.expr(f"percentile(distance, {p})").alias(f"p{round(100 * p):02d}") for p in percentiles),
     )

@@ -15,8 +15,18 @@ from pyspark.sql import functions as F
 _RANK = "__rank"
 
 
+def row_hash(df: DataFrame) -> Column:
+    """Hash of all columns that have one; decides between rows that are otherwise equal in rank."""
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if not _unhashable(f.dataType.simpleString())]
+    return F.xxhash64(*plain) if plain else F.lit(0)
+
+
+def _unhashable(kind: str) -> bool:
+    return "map<" in kind or "variant" in kind
+
+
 def _first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    window = Window.partitionBy(*keys).orderBy(*order)
+    window = Window.partitionBy(*keys).orderBy(*order, row_hash(df))
     return df.withColumn(_RANK, F.row_number().over(window)).filter(F.col(_RANK) == 1).drop(_RANK)
 
 
@@ -29,7 +39,8 @@ def latest_version(
     """One row per key: the most recently modified one.
 
     A row whose date is missing wins over dated rows.  Ties go to the highest
-    tie breakers, in the order given.  Null keys count as one key.
+    tie breakers, in the order given, and then by a hash of the row.  Null keys
+    count as one key.
     """
     order = [F.col(modified).desc_nulls_first(), *(F.col(c).desc_nulls_last() for c in tie_breakers)]
     return _first_per_key(df, keys, order)

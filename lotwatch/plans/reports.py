@@ -9,19 +9,18 @@ from pyspark.sql import functions as F
 
 from lotwatch import fixed_values as fixed
 from lotwatch.functions.text import contains_ci
-from lotwatch.functions.values import hours_between, iso_day, iso_instant, money, ratio
+from lotwatch.functions.values import exact_mean, exact_sum, hours_between, iso_day, iso_instant, money, ratio
 from lotwatch.operators.evidence import with_evidence_pages
 from lotwatch.operators.filters import category_hedge, in_band, is_masked, not_masked, optional_contains, present
 from lotwatch.operators.groups import exact_median, leave_one_out
 from lotwatch.session import stored
 
 MASKS = tuple(fixed.MASKED_SUPPLIERS)
-CENTS = 2
 
 
 def total(column: str) -> Column:
-    """Sum of money, rounded to cents so that the order of addition does not show."""
-    return F.round(F.sum(column), CENTS)
+    """Sum of money in cents; the order of addition does not show."""
+    return exact_sum(column)
 
 
 def mean(column: str) -> Column:
@@ -117,7 +116,7 @@ def item_statistics(items: DataFrame, item: str) -> DataFrame:
     matching = contains_ci(F.col("description"), item) & F.col("unit_amount").isNotNull()
     rows = stored(items.filter(matching).select("unit_amount"))
     figures = rows.agg(
-        F.round(F.avg("unit_amount"), 6).alias("avg_unit_amount"),
+        exact_mean("unit_amount").alias("avg_unit_amount"),
         F.max("unit_amount").alias("max_unit_amount"),
         F.count(F.lit(1)).alias("sample_size"),
     )
@@ -135,7 +134,7 @@ def item_overpricing(items: DataFrame, tenders: DataFrame, item: str) -> DataFra
     matching = stored(items.filter(wanted).select("tender_id", "description", "unit_amount"))
     figures = matching.agg(
         F.struct(
-            F.round(F.avg("unit_amount"), 6).alias("avg"), F.max("unit_amount").alias("max"), F.count(F.lit(1)).alias("n")
+            exact_mean("unit_amount").alias("avg"), F.max("unit_amount").alias("max"), F.count(F.lit(1)).alias("n")
         )
     ).scalar()
     median = exact_median(matching, [], "unit_amount").select("median").scalar()
@@ -158,7 +157,7 @@ def price_outliers(items: DataFrame, item: str, ratio_limit: float = fixed.PRICE
     """Items priced above ``ratio_limit`` times the mean of the same narrow set."""
     matching = items.filter(contains_ci(F.col("description"), item))
     figures = matching.agg(
-        F.struct(F.round(F.avg("unit_amount"), 6).alias("avg"), F.count(F.lit(1)).alias("n"))
+        F.struct(exact_mean("unit_amount").alias("avg"), F.count(F.lit(1)).alias("n"))
     ).scalar()
     above = matching.select(
         "tender_id",
@@ -301,9 +300,9 @@ def staleness(
 
 
 def preview(result: DataFrame, rows: int = fixed.PREVIEW_ROWS) -> tuple[DataFrame, bool]:
-    """The first rows of a result and whether there are more."""
-    seen = len(result.limit(rows + 1).take(rows + 1))
-    return result.limit(rows), seen > rows
+    """The first rows of a result and whether there are more; the result is computed once."""
+    first = result.take(rows + 1)
+    return result.sparkSession.createDataFrame(first[:rows], result.schema), len(first) > rows
 
 
 def names_no_party(result: DataFrame) -> bool:

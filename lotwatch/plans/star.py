@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwatch.operators.versions import latest_version
-from lotwatch.session import spread
 
 LINE_KEY = ["l_orderkey", "l_linenumber"]
 VERSION_ORDER = ["l_partkey", "l_suppkey"]
@@ -181,9 +180,20 @@ def damaged_documents(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("source_file", broken.alias("body"))
 
 
+def event_documents(spark: SparkSession, folder: str, undated=None, damaged=None) -> DataFrame:
+    """A small document per event, dated to the day so that very many share a date; some without a date or broken off."""
+    e = table(spark, folder, "events")
+    no, name = F.lit(False), F.col("event_id").cast("string")
+    day = F.when(undated if undated is not None else no, F.lit("unknown")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'00:00:00'+00:00'"))
+    item = F.struct(F.lit("1").alias("id"), F.struct(F.col("event_type").alias("id")).alias("classification"))
+    body = F.to_json(F.struct(name.alias("id"), F.concat(F.lit("e-"), name).alias("tenderID"), F.col("event_type").alias("title"), day.alias("dateModified"), F.array(item).alias("items")))
+    broken = F.when(damaged if damaged is not None else no, F.substring(body, 1, 12)).otherwise(body)
+    return e.select(F.concat(name, F.lit(".json")).alias("source_file"), broken.alias("body"), "ts")
+
+
 def answers(spark: SparkSession, folder: str) -> DataFrame:
     """Written answers made from orders; the evidence of some is known, of others not."""
-    o = spread(table(spark, folder, "orders"), "o_orderkey")
+    o = table(spark, folder, "orders").repartition("o_orderkey")
     own = record_number("o_orderdate", "o_orderkey")
     text = F.concat(
         F.lit("Order_"), F.col("o_orderkey").cast("string"), F.lit(" *won* "),

@@ -260,6 +260,29 @@ ORACLES: dict[str, str] = {
           CASE WHEN l_discount > 0 THEN l_returnflag END AS cpv_main,
           CASE WHEN l_tax > 0 OR l_linestatus <> 'O' THEN l_extendedprice END AS awarded_amount FROM li), """
     + _DEVIATION.format(rows="r", columns="tender_id"),
+    "run_update_ties": "SELECT CAST(event_id AS VARCHAR) AS tender_id, date_trunc('day', ts) AS date_modified, event_type AS cpv_main FROM events",
+    "run_update_undated": """SELECT CAST(event_id AS VARCHAR) AS tender_id, CASE WHEN event_type <> 'error' THEN date_trunc('day', ts) END AS date_modified,
+        'up_to_date' AS last_status FROM events""",
+    "run_update_rejects": """SELECT CASE WHEN event_type = 'click' THEN 'unreadable' ELSE 'ok' END AS outcome,
+        CAST(event_id AS VARCHAR) AS document FROM events""",
+    "run_status": """WITH n AS (SELECT count(*) FILTER (event_type <> 'click') AS good, count(*) FILTER (event_type = 'click') AS bad FROM events)
+        SELECT CAST(1 AS BIGINT) AS batch_seq, CAST(1 AS BIGINT) AS batch_id, 'no_baseline' AS status, CAST(0 AS BIGINT) AS n_tenders,
+               CAST(0 AS BIGINT) AS n_rejected, CAST(0 AS BIGINT) AS n_items, CAST(0 AS BIGINT) AS n_duplicates
+        UNION ALL SELECT 2, 1, 'ok', 2 * good, 2 * bad, 2 * good, good FROM n UNION ALL SELECT 3, 2, 'up_to_date', 0, 0, 0, 0""",
+    "quality_report": "SELECT CAST(0 AS BIGINT) AS n_duplicate_keys, count(*) AS n_tenders, count(*) AS n_items FROM events",
+    "embed_all": "SELECT CAST(event_id AS VARCHAR) AS id, true AS has_vector FROM events",
+    "two_streams_one_table": "SELECT event_id, event_type, value FROM events",
+    "line_stream_store": f"""WITH {LATEST}, r AS (SELECT l_orderkey || '-' || l_linenumber AS tender_id,
+          CASE WHEN l_discount > 0 THEN l_returnflag END AS cpv_main,
+          CASE WHEN l_tax > 0 OR l_linestatus <> 'O' THEN l_extendedprice END AS awarded_amount FROM li), """
+    + _DEVIATION.format(rows="r", columns="tender_id"),
+    "price_deviation_dirty": """WITH r AS (SELECT CAST(o_orderkey AS VARCHAR) AS tender_id, o_orderstatus AS cpv_main,
+          CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN NULL WHEN o_custkey % 7 = 0 THEN 0 WHEN o_custkey % 7 = 1 THEN -12.5
+               WHEN o_custkey % 7 = 2 THEN 1e-300 ELSE CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS DOUBLE) END::DOUBLE AS awarded_amount FROM orders), """
+    + _DEVIATION.format(rows="r", columns="tender_id"),
+    "report_states": """SELECT * FROM (VALUES ('nobody', 'empty', false), ('monopoly', 'missing_parameter', NULL),
+        ('prices', 'ok', true)) t(report, status, names_no_party) WHERE EXISTS (SELECT 1 FROM orders)""",
+    "vector_knn_approx": "SELECT count(DISTINCT label) AS n_queries, true AS recall_is_enough FROM embeddings",
     "touched_rows": "SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "missing_rows": """SELECT DISTINCT l_orderkey FROM lineitem
         WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""",
@@ -301,10 +324,10 @@ ORACLES: dict[str, str] = {
     "pick_last_active": f"""WITH {LATEST} SELECT l_orderkey, l_linenumber,
         CASE WHEN l_tax = 0 THEN NULL WHEN l_linestatus = 'O' THEN 'second' WHEN l_returnflag = 'A' THEN 'first' ELSE 'third' END AS picked FROM li""",
     "coerce_types": f"""SELECT 'o-' || o_orderkey AS tender_id,
-        CASE WHEN regexp_matches(x, '{NUMBER}') THEN TRY_CAST(x AS DOUBLE) END AS awarded_amount,
+        CASE WHEN regexp_matches(x, '{NUMBER}') AND isfinite(TRY_CAST(x AS DOUBLE)) THEN TRY_CAST(x AS DOUBLE) END AS awarded_amount,
         CASE WHEN o_orderstatus <> 'P' THEN o_orderdate - INTERVAL 3 HOUR END AS date_created,
         o_custkey AS n_bids, NULL::VARCHAR AS title
-        FROM (SELECT *, CASE o_orderpriority WHEN '1-URGENT' THEN '' WHEN '2-HIGH' THEN '1_000' WHEN '3-MEDIUM' THEN 'NaN'
+        FROM (SELECT *, CASE o_orderpriority WHEN '1-URGENT' THEN '' WHEN '2-HIGH' THEN '1_000' WHEN '3-MEDIUM' THEN 'NaN' WHEN '5-LOW' THEN '1e999'
               ELSE CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR) END AS x FROM orders)""",
     # --- text
     "route_questions": f"""SELECT conv_id, turn, {_ROUTE} AS route
@@ -364,7 +387,8 @@ ORACLES: dict[str, str] = {
               FROM h, (VALUES (0.55::DOUBLE), (0.6), (0.65), (0.7), (0.75)) AS v(threshold) GROUP BY threshold)
         SELECT *, round(true_hits / nullif(true_hits + false_hits, 0), 6) AS precision, round(true_hits / nullif(all_matches, 0), 6) AS recall FROM c""",
     "distance_profile": f"""WITH {PROBES} SELECT label = query_id AS is_match, count(*) AS n_hits, round(min(distance), 6) AS min_distance,
-        round(max(distance), 6) AS max_distance, round(avg(distance), 6) AS avg_distance FROM hits WHERE rank <= 20 GROUP BY 1""",
+        round(max(distance), 6) AS max_distance, round(avg(distance), 6) AS avg_distance,
+        {", ".join(f'round(quantile_cont(distance, {p / 100}), 6) AS p{p:02d}' for p in (5, 25, 50, 75, 95))} FROM hits WHERE rank <= 20 GROUP BY 1""",
     "embed_documents": "WITH " + PLACES.format(source="SELECT doc_id AS k, text AS txt FROM documents")
     + " SELECT k AS doc_id, CAST(place AS INTEGER) AS place, CAST(weight AS DOUBLE) AS weight FROM unit",
     "reembed_touched": """WITH src AS (SELECT doc_id AS k, lang || ': ' || text || CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)

@@ -15,11 +15,11 @@ from lotwatch.operators import answers as an
 from lotwatch.operators import chunks, embedding, evidence, filters, flatten, groups, neighbours, routing, versions
 from lotwatch.plans import reports as rp
 from lotwatch.plans.star import (
-    LINE_KEY, VERSION_ORDER, answers, damaged_documents, label_probes, latest_lines, line_items, order_tenders,
+    LINE_KEY, VERSION_ORDER, answers, damaged_documents, event_documents, label_probes, latest_lines, line_items, order_tenders,
     raw_documents, record_number, table, tender_view,
 )
 from lotwatch.schema import TENDERS, VECTORS
-from lotwatch.session import fresh_folder, spread, stored
+from lotwatch.session import fresh_folder, stored
 from lotwatch.sources import raw, tables
 from lotwatch.streaming import sync
 
@@ -94,18 +94,18 @@ def repeat_supplier(spark, d):
 @query
 def item_statistics(spark, d):
     r = rp.item_statistics(line_items(spark, d), "red")
-    return r.withColumn("median_unit_amount", F.round("median_unit_amount", 6))
+    return r.withColumns({c: F.round(c, 6) for c in ("avg_unit_amount", "median_unit_amount")})
 
 
 @query
 def item_overpricing(spark, d):
     r = rp.item_overpricing(line_items(spark, d), order_tenders(spark, d), "red plate")
-    return r.withColumns({c: F.round(c, 6) for c in ("unit_amount", "median_unit_amount", "ratio_to_median")})
+    return r.withColumns({c: F.round(c, 6) for c in ("unit_amount", "avg_unit_amount", "median_unit_amount", "ratio_to_median")})
 
 
 @query
 def item_price_outliers(spark, d):
-    return rp.price_outliers(line_items(spark, d), "red").withColumn("unit_amount", F.round("unit_amount", 6))
+    return rp.price_outliers(line_items(spark, d), "red").withColumns({c: F.round(c, 6) for c in ("unit_amount", "avg_unit_amount")})
 
 
 @query
@@ -161,6 +161,28 @@ def price_deviation(spark, d):
     return groups.price_deviation(t).withColumn("price_deviation_pct", F.round("price_deviation_pct", 6))
 
 
+@query
+def price_deviation_dirty(spark, d):
+    """Amounts as text, some of them zero, negative, tiny, or too large for any number."""
+    text = (
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("1e999")).when(F.col("o_orderpriority") == "2-HIGH", F.lit("-1e999"))
+        .when(F.col("o_custkey") % 7 == 0, F.lit("0")).when(F.col("o_custkey") % 7 == 1, F.lit("-12.5")).when(F.col("o_custkey") % 7 == 2, F.lit("1e-300"))
+        .otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
+    )
+    o = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("tender_id"), F.col("o_orderstatus").alias("cpv_main"), vl.to_double(text).alias("awarded_amount"))
+    return groups.price_deviation(stored(o)).withColumn("price_deviation_pct", F.round("price_deviation_pct", 6))
+
+
+@query
+def report_states(spark, d):
+    """What a report can say of itself: no rows, some, or a parameter that is missing; and whether it names a party."""
+    t, i = order_tenders(spark, d), line_items(spark, d)
+    reports = {"nobody": rp.investigate("splitting", t, i, "no such buyer"),
+               "monopoly": rp.investigate("monopoly", t, i), "prices": rp.investigate("overpricing", t, i, "red plate")}
+    rows = [(name, rp.report_status(r), None if r is None else rp.names_no_party(r)) for name, r in reports.items()]
+    return spark.createDataFrame(rows, "report string, status string, names_no_party boolean")
+
+
 @query
 def resume_cursor(spark, d):
     return rp.resume_cursor(table(spark, d, "events"), "ts")
@@ -237,7 +259,7 @@ def latest_version_dedup(spark, d):
 
 @query
 def item_arrival_dedup(spark, d):
-    rows = table(spark, d, "lineitem").withColumn("arrival", F.hash("l_returnflag") * 0 + F.col("l_partkey") * 100_000 + F.col("l_suppkey"))
+    rows = table(spark, d, "lineitem").withColumn("arrival", F.col("l_partkey") * 100_000 + F.col("l_suppkey"))
     return versions.last_arrival(rows, LINE_KEY, ["arrival", "l_shipdate", "l_quantity"])
 
 
@@ -264,10 +286,10 @@ def incremental_equals_full(spark, d):
     older, newer = _halves(spark, d)
     late = newer.filter(F.col("l_shipdate") >= F.lit("2000-01-01").cast("timestamp"))
     middle = newer.filter(F.col("l_shipdate") < F.lit("2000-01-01").cast("timestamp"))
-    store = tables.BucketedTable(spark, fresh_folder(spark, "lines"), "l_orderkey", newer.schema, 8)
     pick = lambda rows: versions.latest_version(rows, LINE_KEY, "l_shipdate", VERSION_ORDER)
+    store = tables.MergedTable(spark, fresh_folder(spark, "lines"), LINE_KEY, newer.schema, pick)
     for number, batch in enumerate((late, older, middle)):
-        store.merge(batch, pick, number)
+        store.merge(batch, number)
     return store.read()
 
 
@@ -317,7 +339,9 @@ def landing_overwrite(spark, d):
     """Documents with a quality label have landed; all documents come in again, revised."""
     documents = table(spark, d, "documents").select("doc_id", "lang", "source")
     landed = raw.touched_documents(documents, table(spark, d, "labels"), "doc_id")
-    return raw.land(landed, documents.filter("lang <> 'en'").withColumn("source", F.lit("revised")), overwrite=True, key="doc_id")
+    first = documents.filter("lang <> 'en'").withColumns({"source": F.lit("revised once"), "modified": F.lit(1)})
+    both = first.unionByName(first.withColumns({"source": F.lit("revised"), "modified": F.lit(2)}))
+    return raw.land(landed.withColumn("modified", F.lit(0)), both, overwrite=True, key="doc_id", modified="modified").drop("modified")
 
 
 @query
@@ -331,10 +355,99 @@ def raw_landing_roundtrip(spark, d):
 @query
 def store_incremental_deviation(spark, d):
     """The tender store built in two runs; categories change between them."""
-    documents = stored(spread(raw_documents(spark, d).select("source_file", "body", "l_linestatus"), "source_file"))
-    store = sync.TenderStore(spark, fresh_folder(spark, "store"), 8)
+    documents = stored(raw_documents(spark, d).select("source_file", "body", "l_linestatus").repartition("source_file"))
+    store = sync.TenderStore(spark, fresh_folder(spark, "store"))
     for number, status in enumerate(("O", "F")):
-        store.apply(documents.filter(F.col("l_linestatus") == status).drop("l_linestatus"), number, embed=False)
+        store.apply(documents.filter(F.col("l_linestatus") == status).drop("l_linestatus"), number)
+    rows = store.tenders().select("tender_id", "cpv_main", "awarded_amount", "price_deviation_pct")
+    return rows.withColumn("price_deviation_pct", F.round("price_deviation_pct", 6))
+
+
+@query
+def run_update_ties(spark, d):
+    """Runs of bounded size over documents of which very many share a date, until nothing is left."""
+    documents = stored(event_documents(spark, d))
+    store = sync.TenderStore(spark, fresh_folder(spark, "store"))
+    store.apply(documents.filter("ts < '2024-01-06'").select("source_file", "body"), 0, embed=False)
+    limit, number = documents.count() // 4 + 1, 0
+    while number < 10 and sync.run_update(store, documents.select("source_file", "body"), number := number + 1, limit, False, False)["status"] != "up_to_date":
+        pass
+    return store.tenders_plain().select("tender_id", "date_modified", "cpv_main")
+
+
+@query
+def run_update_undated(spark, d):
+    """Documents whose date cannot be read are taken too, and once."""
+    documents = stored(event_documents(spark, d, undated=F.col("event_type") == "error"))
+    store = sync.TenderStore(spark, fresh_folder(spark, "store"))
+    store.apply(documents.filter("ts < '2024-01-06'").select("source_file", "body"), 0, embed=False)
+    for number in (1, 2):
+        result = sync.run_update(store, documents.select("source_file", "body"), number, None, False, False)
+    return store.tenders_plain().select("tender_id", "date_modified", F.lit(result["status"]).alias("last_status"))
+
+
+@query
+def run_update_rejects(spark, d):
+    """Damaged documents of incremental runs end in the quarantine, once."""
+    documents = stored(event_documents(spark, d, damaged=F.col("event_type") == "click"))
+    store = sync.TenderStore(spark, fresh_folder(spark, "store"))
+    store.apply(documents.filter("ts < '2024-01-06'").select("source_file", "body"), 0, embed=False)
+    for number in (1, 2):
+        sync.run_update(store, documents.select("source_file", "body"), number, None, False, False)
+    kept = store.tenders_plain().select(F.lit("ok").alias("outcome"), F.col("tender_id").alias("document"))
+    bad = store.rejected().select(F.col("reject_reason").alias("outcome"), F.regexp_replace("source_file", "[.]json$", "").alias("document"))
+    return kept.unionByName(bad)
+
+
+@query
+def run_status(spark, d):
+    """The run log of a store that began without a baseline, was filled, and was up to date."""
+    documents = stored(event_documents(spark, d, damaged=F.col("event_type") == "click").select("source_file", "body"))
+    store = sync.TenderStore(spark, fresh_folder(spark, "store"))
+    sync.run_update(store, documents, 1, None, False, False)
+    store.apply(documents.unionByName(documents), 1, embed=False)
+    sync.run_update(store, documents, 2, None, False, False)
+    return store.run_log().select("batch_seq", "batch_id", "status", "n_tenders", "n_rejected", "n_items", "n_duplicates")
+
+
+@query
+def quality_report(spark, d):
+    """Keys that a store holds twice, after two versions of each document: none; beside the number of its rows."""
+    documents = stored(event_documents(spark, d).select("source_file", "body"))
+    store = sync.TenderStore(spark, fresh_folder(spark, "store"))
+    for number in (0, 1):
+        store.apply(documents, number, embed=False)
+    twice = store.quality_report().agg(F.count(F.lit(1)).alias("n_duplicate_keys"))
+    return twice.withColumns({"n_tenders": F.lit(store.tender_table.count()), "n_items": F.lit(store.item_table.count())})
+
+
+@query
+def embed_all(spark, d):
+    store = sync.TenderStore(spark, fresh_folder(spark, "store"))
+    store.apply(event_documents(spark, d).select("source_file", "body"), 0, embed=False)
+    store.embed_all()
+    return store.vectors.read().select("id", (F.size("embedding") > 0).alias("has_vector"))
+
+
+@query
+def two_streams_one_table(spark, d):
+    """Two streams with checkpoints of their own, both beginning at batch 0, fill one table."""
+    work = fresh_folder(spark, "stream")
+    rows = table(spark, d, "events").select("event_id", "event_type", "value")
+    store = tables.MergedTable(spark, f"{work}/table", "event_id", rows.schema)
+    for name, half in (("errors", rows.filter("event_type = 'error'")), ("others", rows.filter("event_type <> 'error'"))):
+        half.write.json(f"{work}/{name}")
+        sync.stream_versions(spark.readStream.schema(rows.schema).json(f"{work}/{name}"), store, f"{work}/checkpoint-{name}")
+    return store.read()
+
+
+@query
+def line_stream_store(spark, d):
+    """Files of one document per line stream into the store in several batches."""
+    landing = fresh_folder(spark, "landing")
+    raw_documents(spark, d).select("body").repartition(8).write.text(landing)
+    store = sync.TenderStore(spark, fresh_folder(spark, "store"))
+    sync.sync_stream(store, landing, fresh_folder(spark, "checkpoint"), lines=True, embed=False)
     rows = store.tenders().select("tender_id", "cpv_main", "awarded_amount", "price_deviation_pct")
     return rows.withColumn("price_deviation_pct", F.round("price_deviation_pct", 6))
 
@@ -358,7 +471,7 @@ def stream_ingest_events(spark, d):
     columns = ["event_id", "ts", "event_type", "value"]
     first = table(spark, d, "events").select(*columns)
     kind = first.schema
-    store = tables.BucketedTable(spark, f"{work}/table", "event_id", kind, 8)
+    store = tables.MergedTable(spark, f"{work}/table", "event_id", kind, lambda rows: versions.latest_version(rows, ["event_id"], "ts", []))
     late = first.filter("event_type = 'error'")
     newer = late.withColumns({"ts": F.col("ts") + F.expr("INTERVAL 1 DAY"), "value": F.col("value") + 1})
     older = late.withColumns({"ts": F.col("ts") - F.expr("INTERVAL 1 DAY"), "value": F.lit(-1.0)})
@@ -366,7 +479,7 @@ def stream_ingest_events(spark, d):
     for wave in (first.repartition(8), newer.unionByName(older).repartition(4)):
         wave.write.mode("append").options(**form).json(landing)
         stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 8).options(**form).json(landing)
-        sync.stream_versions(stream, store, "ts", f"{work}/checkpoint")
+        sync.stream_versions(stream, store, f"{work}/checkpoint")
     return store.read()
 
 
@@ -415,7 +528,7 @@ def pick_last_active(spark, d):
 def coerce_types(spark, d):
     messy = (
         F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("")).when(F.col("o_orderpriority") == "2-HIGH", F.lit("1_000"))
-        .when(F.col("o_orderpriority") == "3-MEDIUM", F.lit("NaN")).otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
+        .when(F.col("o_orderpriority") == "3-MEDIUM", F.lit("NaN")).when(F.col("o_orderpriority") == "5-LOW", F.lit("1e999")).otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
     )
     when = F.when(F.col("o_orderstatus") == "P", F.lit("soon")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'+03:00'"))
     text = table(spark, d, "orders").select(
@@ -557,6 +670,16 @@ def vector_knn(spark, d):
     return hits.select("query_id", "rank", "id", F.round("distance", 6).alias("distance"))
 
 
+@query
+def vector_knn_approx(spark, d):
+    """Whether a search of six parts in eight finds nine tenths of the exact neighbours."""
+    corpus, exact = _label_hits(spark, d, 5)
+    near = neighbours.approximate_neighbours(corpus, label_probes(spark, d), 5, centroids=8, probes=6)
+    found = exact.join(near.select("query_id", "id"), ["query_id", "id"], "left_semi")
+    share = found.count() / max(1, exact.count())
+    return exact.agg(F.count_distinct("query_id").alias("n_queries")).withColumn("recall_is_enough", F.lit(share >= 0.9))
+
+
 @query
 def vector_gate(spark, d):
     _, hits = _label_hits(spark, d, 5)
@@ -582,12 +705,12 @@ def threshold_calibration(spark, d):
 def distance_profile(spark, d):
     corpus, hits = _label_hits(spark, d, 20)
     r = neighbours.distance_profile(neighbours.hit_rows(hits, corpus.select("id", "label")), F.col("label") == F.col("query_id"))
-    return r.withColumns({c: F.round(c, 6) for c in ("min_distance", "max_distance")})
+    return r.withColumns({c: F.round(c, 6) for c in r.columns if c not in ("is_match", "n_hits")})
 
 
 @query
 def embed_documents(spark, d):
-    documents = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    documents = table(spark, d, "documents").select("doc_id", "text").repartition("doc_id")
     vectors = documents.select("doc_id", embedding.embed_passages(F.col("text"), ENCODER).alias("embedding"))
     places = vectors.select("doc_id", F.posexplode("embedding").alias("place", "weight"))
     return places.filter("weight <> 0").withColumn("weight", F.col("weight").cast("double"))
@@ -597,10 +720,10 @@ def embed_documents(spark, d):
 def reembed_touched(spark, d):
     """Embed all documents, revise the toxic ones, embed only those again."""
     documents = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("tender_id"), "text", "lang")
-    documents = spread(documents, "tender_id")
+    documents = documents.repartition("tender_id")
     labels = table(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").cast("string").alias("tender_id"))
     options = {"lines": ["{lang}: {text}"], "make_encoder": ENCODER}
-    store = tables.BucketedTable(spark, fresh_folder(spark, "vectors"), "id", VECTORS, 8)
+    store = tables.MergedTable(spark, fresh_folder(spark, "vectors"), "id", VECTORS)
     store.replace(embedding.vector_rows(documents, **options))
     revised = documents.withColumn("text", F.concat("text", F.lit(" revised")))
     rows = embedding.touched_vector_rows(revised, labels, **options)
@@ -611,7 +734,7 @@ def reembed_touched(spark, d):
 
 @query
 def semantic_search(spark, d):
-    documents = spread(table(spark, d, "documents"), "doc_id")
+    documents = table(spark, d, "documents").repartition("doc_id")
     corpus = documents.select(
         F.col("doc_id").alias("id"),
         embedding.embed_passages(F.col("text"), ENCODER).alias("embedding"),

@@ -11,10 +11,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A side of a join is broadcast only when it was counted to have no more rows.
-BROADCAST_ROWS = 200_000
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -75,15 +71,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Compute ``df`` once, count it, and mark it for broadcast only within the bound.
-
-    Beyond the bound the join shuffles, and adaptive execution splits skewed keys.
-    """
-    done = cut_lineage(df)
-    return F.broadcast(done) if done.count() <= max_rows else done
-
-
 def stored(df: DataFrame, purpose: str = "stage") -> DataFrame:
     """Compute ``df`` once into a Parquet table in the shared folder and read it from there.
 
@@ -93,13 +80,3 @@ def stored(df: DataFrame, purpose: str = "stage") -> DataFrame:
     path = fresh_folder(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores for costly row-local work on a frame read from very few files.
-
-    A frame of many files is already split finely enough and is left alone: its
-    rows should not be shuffled just to be looked at.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from lotwatch import fixed_values as fixed
 from lotwatch.functions.text import contains_any
+from lotwatch.operators.versions import last_arrival, latest_version
 from lotwatch.schema import RAW_DOCUMENT, RAW_FIELDS
-from lotwatch.session import broadcast_if_small
 
+WHITE_SPACE = " \t\r\n\f\v"
 _WIDE = f"{RAW_DOCUMENT[:-1]}, data: {RAW_DOCUMENT}, _corrupt: STRING>"
 
 
@@ -39,28 +40,21 @@ def parse_documents(raw: DataFrame) -> DataFrame:
     something unexpected are parsed a second time without types, to tell a
     container that is merely empty from one that is wrong.
     """
-    # Each step works on the single element of an array: its result is computed
-    # once however often the next step uses it, and the final explode keeps
-    # pushed-down filters from repeating the parse.
-    text = F.trim("body")
+    # Each step names its result, so a later one does not repeat it.
+    text = F.btrim("body", F.lit(WHITE_SPACE))
     framed = text.startswith("{") & text.endswith("}")
-    typed = F.array(F.from_json("body", _WIDE, {"columnNameOfCorruptRecord": "_corrupt"}))
-    parsed = F.transform(typed, lambda t: _with_loose_parse(t, framed))
-    opened = F.transform(parsed, lambda p: F.struct(p["typed"].alias("typed"), p["odd"].alias("odd"), _unwrapped(p["parsed"]).alias("loose")))
-    judged = F.transform(opened, lambda p: _judged(p["typed"], p["odd"], p["loose"]))
-    rows = raw.select("*", F.explode(judged).alias("judged"))
+    steps = raw.select("*", F.from_json("body", _WIDE, {"columnNameOfCorruptRecord": "_corrupt"}).alias("__typed"))
+    typed, odd = F.col("__typed"), F.col("__odd")
+    steps = steps.select("*", F.coalesce(typed.isNull() | typed["_corrupt"].isNotNull() | ~framed, F.lit(True)).alias("__odd"))
+    steps = steps.select("*", F.when(odd, F.try_parse_json("body")).alias("__parsed"))
+    steps = steps.select("*", _unwrapped(F.col("__parsed")).alias("__loose"))
+    # The explode of a single element keeps pushed-down filters from repeating the parse.
+    rows = steps.select(*raw.columns, F.explode(F.array(_judged(typed, odd, F.col("__loose")))).alias("judged"))
     return rows.select(
         *raw.columns, "judged.doc", F.col("judged.doc.id").alias("tender_id"), F.col("judged.reject_reason").alias("reject_reason")
     )
 
 
-def _with_loose_parse(typed: Column, framed: Column) -> Column:
-    odd = typed.isNull() | typed["_corrupt"].isNotNull() | ~framed
-    return F.struct(
-        typed.alias("typed"), odd.alias("odd"), F.when(odd, F.try_parse_json("body")).alias("parsed")
-    )
-
-
 def _unwrapped(parsed: Column) -> Column:
     inner = F.try_variant_get(parsed, "$.data", "variant")
     wrapped = F.try_variant_get(parsed, "$.id", "variant").isNull() & inner.isNotNull()
@@ -100,9 +94,16 @@ def _well_formed(loose: Column) -> Column:
     for name in ("value", "procuringEntity"):
         condition = condition & (_is_object(loose, f"$.{name}") | _empty(loose, f"$.{name}"))
     for name in ("awards", "contracts", "items"):
-        filled = F.try_variant_get(loose, f"$.{name}[0]", "variant").isNotNull()
-        condition = condition & (filled | _empty(loose, f"$.{name}"))
-    return condition
+        condition = condition & _list_of_objects(loose, f"$.{name}")
+    awards = F.try_variant_get(loose, "$.awards", "array<variant>")
+    return condition & F.coalesce(F.forall(awards, lambda award: _list_of_objects(award, "$.suppliers")), F.lit(True))
+
+
+def _list_of_objects(loose: Column, path: str) -> Column:
+    """Missing or empty, or a list whose elements are objects or null."""
+    listed = F.try_variant_get(loose, path, "array<variant>")
+    objects = F.forall(listed, lambda x: x.isNull() | F.is_variant_null(x) | _is_object(x, "$"))
+    return _empty(loose, path) | F.coalesce(objects, F.lit(False))
 
 
 def good_documents(parsed: DataFrame) -> DataFrame:
@@ -123,7 +124,7 @@ def run_counters(parsed: DataFrame) -> DataFrame:
 
 def touched_documents(documents: DataFrame, touched: DataFrame, key: str = "tender_id") -> DataFrame:
     """Only the documents whose key is listed."""
-    return documents.join(broadcast_if_small(touched.select(key).distinct()), key, "left_semi")
+    return documents.join(touched.select(key).distinct(), key, "left_semi")
 
 
 def missing_documents(documents: DataFrame, touched: DataFrame, key: str = "tender_id") -> DataFrame:
@@ -167,19 +168,35 @@ def change_feed(
     return ordered.limit(limit) if limit else ordered
 
 
-def land(landed: DataFrame, incoming: DataFrame, overwrite: bool = False, key: str = "tender_id") -> DataFrame:
+def up_to_whole_date(rows: DataFrame, limit: int, modified: str = "date_modified") -> DataFrame:
+    """The oldest ``limit`` rows and all others of the last one's date; undated rows are always among them.
+
+    Only dates go through the ordering, so a cut never falls among equal dates.
+    """
+    oldest = rows.select(modified).filter(F.col(modified).isNotNull()).orderBy(modified).limit(limit)
+    last = oldest.agg(F.max(modified)).first()[0]
+    return rows if last is None else rows.filter(F.col(modified).isNull() | (F.col(modified) <= F.lit(last)))
+
+
+def _latest(incoming: DataFrame, key: str, modified: str | None) -> DataFrame:
+    """One row per key: the latest, or without dates the one a hash of the row chooses."""
+    if modified is not None:
+        return latest_version(incoming, [key], modified, [])
+    return last_arrival(incoming, [key], [])
+
+
+def land(landed: DataFrame, incoming: DataFrame, overwrite: bool = False, key: str = "tender_id", modified: str | None = None) -> DataFrame:
     """The landing table after new documents came in, one document per key.
 
     Documents that have landed stay as they are; with ``overwrite`` the incoming
-    ones replace them.
+    ones replace them.  Of versions that come in together the latest counts.
     """
     if overwrite:
-        fresh = incoming.dropDuplicates([key])
+        fresh = _latest(incoming, key, modified)
         return landed.join(fresh.select(key), key, "left_anti").unionByName(fresh)
-    return landed.unionByName(new_documents(incoming, landed, key))
+    return landed.unionByName(new_documents(incoming, landed, key, modified))
 
 
-def new_documents(incoming: DataFrame, landed: DataFrame, key: str = "tender_id") -> DataFrame:
-    """Incoming documents whose key has not landed yet, one per key."""
-    once = incoming.dropDuplicates([key])
-    return once.join(landed.select(key), key, "left_anti")
+def new_documents(incoming: DataFrame, landed: DataFrame, key: str = "tender_id", modified: str | None = None) -> DataFrame:
+    """Incoming documents whose key has not landed yet, the latest per key."""
+    return _latest(incoming.join(landed.select(key), key, "left_anti"), key, modified)

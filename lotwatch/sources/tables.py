@@ -1,40 +1,49 @@
 """Tables on plain Parquet: full replace, keyed merge, schema and counts.
 
-Plain Parquet has no update in place and no overwrite of a path that is being
-read.  A table here is a set of hash buckets; a merge writes the touched buckets
-to a new version folder and then appends one small log entry that makes them
-current.  Until that entry exists readers see the old state, so a job that dies
-halfway leaves nothing visible and can simply run again.
+A batch is appended as a delta of its own size; nothing is rewritten for it.
+Readers take the base as it is for keys that no delta touches and resolve the
+rest, so what has to be shuffled grows with the deltas.  Deltas are merged with
+each other now and then, and with the base once they have become a large part
+of it.  One appended log entry makes a folder current: a job that dies before
+it leaves nothing visible and can simply run again.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotwatch.operators.versions import latest_version, union_by_name
-from lotwatch.session import broadcast_if_small
+from lotwatch.operators.versions import last_arrival, union_by_name
 
-LOG = "version bigint, bucket int, batch_id bigint, n_rows bigint"
+LOG = "version bigint, kind string, folder string, source string, batch_id bigint, n_rows bigint"
+ARRIVAL, DELETED = "_seq", "_deleted"
 
+# Deltas that are merged into one, and the share of the base at which they are merged with it.
+DELTAS = 16
+BASE_SHARE = 0.5
 
-class BucketedTable:
-    """Versioned table, hash-bucketed by its key.
 
-    Choose ``n_buckets`` so that one bucket is a convenient rewrite, about a
-    gigabyte; it is also the bound on what the driver reads from the log.  One
-    writer at a time.
+class MergedTable:
+    """A table with one row per key, kept as a base and deltas.
+
+    ``pick`` chooses the row of each key among old and new ones; by default the
+    last to arrive.  It must keep the columns ``_seq`` and ``_deleted``.  Rows
+    deleted by :meth:`replace_keys` are deltas that only say so.  One writer at
+    a time.
     """
 
     def __init__(
-        self, spark: SparkSession, root: str, key: str | Sequence[str], schema: T.StructType, n_buckets: int = 16
+        self, spark: SparkSession, root: str, key: str | Sequence[str], schema: T.StructType, pick: Callable[[DataFrame], DataFrame] | None = None
     ):
-        self.spark, self.root, self.schema, self.n_buckets = spark, root, schema, n_buckets
+        self.spark, self.root, self.schema = spark, root, schema
         self.keys = [key] if isinstance(key, str) else list(key)
+        self.pick = pick or (lambda rows: last_arrival(rows, self.keys, [ARRIVAL]))
+        self._stored = T.StructType([*schema.fields, T.StructField(ARRIVAL, T.LongType()), T.StructField(DELETED, T.BooleanType())])
 
     # reading
 
@@ -44,76 +53,113 @@ class BucketedTable:
         except AnalysisException:
             return self.spark.createDataFrame([], LOG)
 
-    def _current(self) -> dict[int, tuple[int, int]]:
-        """Current version and size of every bucket; at most ``n_buckets`` entries."""
-        last = F.max(F.struct("version", "n_rows")).alias("last")
-        rows = self._log().groupBy("bucket").agg(last).collect()
-        return {r["bucket"]: (r["last"]["version"], r["last"]["n_rows"]) for r in rows}
-
-    def has_batch(self, batch_id: int) -> bool:
-        return not self._log().filter(F.col("batch_id") == batch_id).isEmpty()
-
-    def read(self, buckets: Sequence[int] | None = None) -> DataFrame:
-        """The current rows, of all buckets or of the given ones."""
-        paths = [
-            f"{self.root}/data/v={version}/bucket={bucket}"
-            for bucket, (version, n_rows) in sorted(self._current().items())
-            if n_rows and (buckets is None or bucket in buckets)
-        ]
-        if not paths:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*paths)
+    def _state(self) -> tuple[int, list, list]:
+        """Last version, and the log entries of the base and of the deltas on it; one entry per commit."""
+        base, deltas, version = [], [], 0
+        for entry in sorted(self._log().collect(), key=lambda r: r["version"]):
+            version = entry["version"]
+            if entry["kind"] == "base":
+                base, deltas = [entry], []
+            else:
+                deltas = [*(deltas if entry["kind"] == "delta" else []), entry]
+        return version, base, deltas
+
+    def has_batch(self, batch_id: int, source: str = "batch") -> bool:
+        return not self._log().filter((F.col("batch_id") == batch_id) & (F.col("source") == source)).isEmpty()
+
+    def _folders(self, entries: Sequence) -> DataFrame:
+        paths = [e["folder"] for e in entries if e["n_rows"]]
+        reader = self.spark.read.schema(self._stored)
+        return reader.parquet(*paths) if paths else self.spark.createDataFrame([], self._stored)
+
+    def _same_keys(self, left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        named = right.select(*(F.col(k).alias(f"__{k}") for k in self.keys)).distinct()
+        same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in self.keys]
+        return left.join(named, same, how)
+
+    def _resolved(self, touched: DataFrame | None = None) -> DataFrame:
+        _, base, deltas = self._state()
+        old, new = self._folders(base), self._folders(deltas)
+        if touched is not None:
+            old, new = self._same_keys(old, touched, "left_semi"), self._same_keys(new, touched, "left_semi")
+        if not deltas:
+            return old
+        changed = self.pick(self._same_keys(old, new, "left_semi").unionByName(new))
+        return self._same_keys(old, new, "left_anti").unionByName(changed)
+
+    def _visible(self, rows: DataFrame) -> DataFrame:
+        return rows.filter(~F.col(DELETED)).select(*self.schema.fieldNames())
+
+    def read(self) -> DataFrame:
+        """The current rows."""
+        return self._visible(self._resolved())
 
     def read_keys(self, touched: DataFrame) -> DataFrame:
-        """The current rows of the listed keys; other buckets are not read."""
-        keys = broadcast_if_small(touched.select(*self.keys).distinct())
-        return self.read(self._buckets_of(keys)).join(keys, self.keys, "left_semi")
+        """The current rows of the listed keys."""
+        return self._visible(self._resolved(touched))
+
+    def versions(self) -> DataFrame:
+        """All rows still stored, superseded ones too: a scan without any shuffle."""
+        _, base, deltas = self._state()
+        return self._folders([*base, *deltas]).select(*self.schema.fieldNames())
 
     def count(self) -> int:
-        """Number of rows, from the log alone."""
-        return sum(n_rows for _, n_rows in self._current().values())
+        return self.read().count()
 
     # writing
 
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.n_buckets)).cast("int")
-
-    def _commit(self, rows: DataFrame, buckets: Sequence[int], batch_id: int) -> int:
-        version = max((v for v, _ in self._current().values()), default=0) + 1
-        folder = f"{self.root}/data/v={version}"
-        placed = rows.select(*self.schema.fieldNames(), self._bucket().alias("bucket"))
-        placed.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
-        stored = T.StructType([*self.schema.fields, T.StructField("bucket", T.IntegerType())])
-        sizes = self.spark.read.schema(stored).parquet(folder).groupBy("bucket").count().collect()
-        written = {r["bucket"]: r["count"] for r in sizes}
-        entries = [(version, b, batch_id, written.get(b, 0)) for b in buckets]
-        self.spark.createDataFrame(entries, LOG).coalesce(1).write.mode("append").json(f"{self.root}/log")
+    def _commit(self, rows: DataFrame, kind: str, source: str = "batch", batch_id: int = -1) -> int:
+        """Write rows that carry ``_deleted``; ``_seq`` is the new version where they have none."""
+        version = self._state()[0] + 1
+        folder = f"{self.root}/data/{version}-{uuid.uuid4().hex}"
+        if ARRIVAL not in rows.columns:
+            rows = rows.withColumn(ARRIVAL, F.lit(version).cast("bigint"))
+        rows.select(*self._stored.fieldNames()).write.parquet(folder)
+        n_rows = self.spark.read.schema(self._stored).parquet(folder).count()
+        entry = [(version, kind, folder, source, batch_id, n_rows)]
+        self.spark.createDataFrame(entry, LOG).coalesce(1).write.mode("append").json(f"{self.root}/log")
         return version
 
-    def _buckets_of(self, touched: DataFrame) -> list[int]:
-        found = touched.select(self._bucket().alias("bucket")).distinct().collect()
-        return sorted(r["bucket"] for r in found)
-
-    def replace(self, rows: DataFrame, batch_id: int = -1) -> int:
+    def replace(self, rows: DataFrame, batch_id: int = -1, source: str = "batch") -> int:
         """Full replace, also when ``rows`` is computed from the table itself."""
-        return self._commit(rows, range(self.n_buckets), batch_id)
+        return self._commit(rows.withColumn(DELETED, F.lit(False)), "base", source, batch_id)
 
-    def rewrite(self, touched: DataFrame, change: Callable[[DataFrame], DataFrame], batch_id: int = -1) -> int:
-        """Rewrite the buckets of the touched keys; ``change`` maps their old rows to the new ones."""
-        buckets = self._buckets_of(touched)
-        return self._commit(change(self.read(buckets)), buckets, batch_id) if buckets else 0
-
-    def merge(self, updates: DataFrame, pick: Callable[[DataFrame], DataFrame], batch_id: int = -1) -> int:
-        """Add rows and let ``pick`` choose what survives; untouched buckets are not read."""
-        return self.rewrite(updates, lambda old: pick(union_by_name(old, updates)), batch_id)
+    def merge(self, updates: DataFrame, batch_id: int = -1, source: str = "batch") -> int:
+        """Add rows; ``pick`` decides on reading what survives."""
+        version = self._commit(updates.withColumn(DELETED, F.lit(False)), "delta", source, batch_id)
+        self.compact_if_due()
+        return version
 
-    def upsert(self, updates: DataFrame, modified: str, tie_breakers: Sequence[str], batch_id: int = -1) -> int:
-        return self.merge(updates, lambda rows: latest_version(rows, self.keys, modified, tie_breakers), batch_id)
+    def replace_keys(self, touched: DataFrame, rows: DataFrame, batch_id: int = -1, source: str = "batch") -> int:
+        """Drop the rows of the touched keys and put ``rows`` in their place."""
+        gone = self._same_keys(touched.select(*self.keys).distinct(), rows, "left_anti").withColumn(DELETED, F.lit(True))
+        version = self._commit(union_by_name(rows.withColumn(DELETED, F.lit(False)), gone), "delta", source, batch_id)
+        self.compact_if_due()
+        return version
 
-    def replace_keys(self, touched: DataFrame, rows: DataFrame, batch_id: int = -1) -> int:
-        """Drop all rows of the touched keys and put ``rows`` in their place."""
-        keys = broadcast_if_small(touched.select(*self.keys).distinct())
-        return self.rewrite(touched, lambda old: old.join(keys, self.keys, "left_anti").unionByName(rows), batch_id)
+    def compact_if_due(self) -> None:
+        """Amortised over batches: a row is rewritten a few times, however many batches follow it."""
+        _, base, deltas = self._state()
+        waiting, held = sum(e["n_rows"] for e in deltas), sum(e["n_rows"] for e in base)
+        if deltas and waiting > BASE_SHARE * held and len(deltas) > 1:
+            self.compact()
+        elif len(deltas) > DELTAS:
+            self._commit(self.pick(self._folders(deltas)), "merged")
+
+    def compact(self) -> int:
+        """Merge base and deltas into a new base."""
+        return self._commit(self._resolved().filter(~F.col(DELETED)), "base")
+
+    def vacuum(self) -> int:
+        """Delete data folders that are current no more; readers that began before must have ended.  Returns how many."""
+        _, base, deltas = self._state()
+        current = {e["folder"].rsplit("/", 1)[-1] for e in [*base, *deltas]}
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/data")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        old = [s.getPath() for s in files.listStatus(path) if s.getPath().getName() not in current] if files.exists(path) else []
+        for folder in old:
+            files.delete(folder, True)
+        return len(old)
 
 
 def table_schema(tables: Mapping[str, DataFrame]) -> list[tuple[str, str, str]]:

@@ -10,7 +10,7 @@ from lotwatch.operators.groups import price_deviation
 from lotwatch.schema import TENDERS
 from lotwatch.session import fresh_folder
 from lotwatch.sources import raw
-from lotwatch.sources.tables import BucketedTable
+from lotwatch.sources.tables import DELTAS, MergedTable
 from lotwatch.streaming.sync import TenderStore, run_update, sync_stream
 
 
@@ -48,7 +48,7 @@ def state(store):
 
 
 def test_runs_replay_and_log(spark):
-    store = TenderStore(spark, fresh_folder(spark, "store"), 4)
+    store = TenderStore(spark, fresh_folder(spark, "store"))
     assert run_update(store, frame(spark, FIRST), 0)["status"] == "no_baseline"
     assert store.apply(frame(spark, FIRST), 1) == {"status": "ok", "since": None, "n_tenders": 3}
     assert state(store)["t3"][2] is None and state(store)["t1"][2] == pytest.approx(-100 / 3)
@@ -70,12 +70,12 @@ def test_runs_replay_and_log(spark):
 
 
 def test_stream_in_small_batches_equals_one_build(spark, tmp_path):
-    store, checkpoint = TenderStore(spark, fresh_folder(spark, "store"), 4), fresh_folder(spark, "checkpoint")
+    store, checkpoint = TenderStore(spark, fresh_folder(spark, "store")), fresh_folder(spark, "checkpoint")
     for wave, rows in (("a", FIRST), ("b", SECOND)):
         for name, body in rows:
             (tmp_path / f"{wave}-{name}").write_text(body, encoding="utf-8")
         sync_stream(store, str(tmp_path), checkpoint, files_per_batch=2)
-    whole = TenderStore(spark, fresh_folder(spark, "store"), 4)
+    whole = TenderStore(spark, fresh_folder(spark, "store"))
     whole.apply(frame(spark, FIRST + SECOND), 0, embed=False)
     assert state(store) == state(whole) == EXPECTED
     direct = price_deviation(whole.tender_table.read()).select("tender_id", "price_deviation_pct")
@@ -83,33 +83,104 @@ def test_stream_in_small_batches_equals_one_build(spark, tmp_path):
     assert raw.read_raw(spark, str(tmp_path)).count() == 7
 
 
-def test_bucketed_table_rewrites_only_touched_buckets(spark):
+def test_merged_table_keeps_one_row_per_key(spark):
     df = spark.range(100).select(F.col("id"), F.lit(1).alias("v"))
-    table = BucketedTable(spark, fresh_folder(spark, "table"), "id", df.schema, 8)
+    table = MergedTable(spark, fresh_folder(spark, "table"), "id", df.schema)
     assert table.read().count() == table.count() == 0
     table.replace(df)
-    before = table._current()
     table.replace_keys(spark.createDataFrame([(7,)], "id long"), spark.createDataFrame([(7, 2)], df.schema))
-    changed = {b for b, state in table._current().items() if state != before[b]}
-    assert len(changed) == 1 and table.count() == 100
-    assert table.read().filter("v = 2").count() == 1
+    assert table.count() == 100 and table.read().filter("v = 2").count() == 1
+    assert table.read_keys(spark.createDataFrame([(7,), (8,), (777,)], "id long")).count() == 2
     table.replace_keys(df.select("id"), df.limit(0))
     assert table.read().count() == 0
     table.replace(table.read().unionByName(df))
-    assert table.read().count() == 100
+    assert table.read().count() == 100 and table.has_batch(-1) and not table.has_batch(-1, "other")
 
 
-def test_unfinished_write_stays_invisible(spark):
+def test_a_batch_writes_its_own_rows_and_deltas_are_merged(spark):
+    df = spark.range(1000).select(F.col("id"), F.lit(0).alias("v"))
+    table = MergedTable(spark, fresh_folder(spark, "table"), "id", df.schema)
+    table.replace(df)
+    for n in range(1, 20):
+        table.merge(spark.createDataFrame([(n % 5, n)], df.schema), n)
+    log = table._log().collect()
+    assert sorted(e.n_rows for e in log if e.kind == "delta") == [1] * 19
+    assert max(e.n_rows for e in log if e.kind == "merged") <= 17
+    assert {r.id: r.v for r in table.read().filter("id < 5").collect()} == {n % 5: n for n in range(15, 20)}
+    assert len(table._state()[2]) <= DELTAS + 1
+    table.compact()
+    assert table.count() == 1000 and not table._state()[2]
+    assert table.vacuum() > 0 and table.vacuum() == 0 and table.count() == 1000
+
+
+def test_unfinished_write_stays_invisible(spark, monkeypatch):
     df = spark.range(20).select(F.col("id"), F.lit(1).alias("v"))
-    table = BucketedTable(spark, fresh_folder(spark, "table"), "id", df.schema, 4)
+    table = MergedTable(spark, fresh_folder(spark, "table"), "id", df.schema)
     table.replace(df)
-    # What a run leaves behind that died before its log entry.
-    df.withColumn("v", F.lit(9)).withColumn("bucket", table._bucket()).write.partitionBy("bucket").parquet(f"{table.root}/data/v=2")
+    # A run that dies before its log entry.
+    make = type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        table.merge(df.withColumn("v", F.lit(9)))
+    monkeypatch.setattr(type(spark), "createDataFrame", make)
     assert table.read().filter("v = 9").count() == 0
     table.replace(df.withColumn("v", F.lit(3)))
     assert table.read().groupBy("v").count().collect() == [(3, 20)]
 
 
+STEPS = [("tender_table", "merge"), ("item_table", "merge"), ("vectors", "replace_keys"), ("statistics", "replace_keys")]
+
+
+@pytest.mark.parametrize("step", STEPS, ids=[s[0] for s in STEPS])
+def test_replay_repairs_a_run_that_died_after_any_step(spark, step):
+    store = TenderStore(spark, fresh_folder(spark, "store"))
+    store.apply(frame(spark, FIRST), 0)
+    part = getattr(store, step[0])
+    whole = getattr(part, step[1])
+
+    def dies(*args, **named):
+        whole(*args, **named)
+        raise RuntimeError("lost")
+
+    setattr(part, step[1], dies)
+    with pytest.raises(RuntimeError):
+        store.apply(frame(spark, SECOND), 1)
+    setattr(part, step[1], whole)
+    assert store.apply(frame(spark, SECOND), 1)["status"] == "ok"
+    assert state(store) == EXPECTED and store.quality_report().isEmpty()
+    assert store.items().count() == 5 and store.vectors.count() == 4
+
+
+def test_two_runs_take_all_of_a_date_and_what_has_none(spark):
+    store = TenderStore(spark, fresh_folder(spark, "store"))
+    store.apply(frame(spark, [("t0", document("t0", "2024-01-01T00:00:00+00:00", "33", 1.0))]), 0, embed=False)
+    same = [(f"t{n}", document(f"t{n}", "2024-01-02T00:00:00+00:00", "33", 1.0)) for n in range(1, 5)]
+    odd = [("t5", document("t5", "some day", "33", 1.0)), ("bad", "{")]
+    later = [("t6", document("t6", "2024-01-03T00:00:00+00:00", "33", 1.0))]
+    feed = frame(spark, same + odd + later)
+    assert run_update(store, feed, 1, limit=2)["n_tenders"] == 5
+    assert run_update(store, feed, 2, limit=2)["n_tenders"] == 1
+    assert run_update(store, feed, 3, limit=2)["status"] == "up_to_date"
+    # One that comes late with the cursor's own date is not missed.
+    assert run_update(store, feed.unionByName(frame(spark, [("t7", document("t7", "2024-01-03T00:00:00+00:00", "33", 1.0))])), 4)["n_tenders"] == 1
+    assert store.tenders().count() == 8 and store.rejected().count() == 1
+
+
+def test_a_run_without_baseline_leaves_its_number_free(spark):
+    store = TenderStore(spark, fresh_folder(spark, "store"))
+    assert run_update(store, frame(spark, FIRST), 7)["status"] == "no_baseline"
+    assert store.apply(frame(spark, FIRST), 7, embed=False)["status"] == "ok"
+
+
+def test_statistics_wait_for_a_refresh_without_being_wrong(spark):
+    store = TenderStore(spark, fresh_folder(spark, "store"))
+    store.apply(frame(spark, FIRST), 0, embed=False, refresh=False)
+    store.apply(frame(spark, SECOND), 1, embed=False, refresh=False)
+    assert store.statistics.count() == 0 and state(store) == EXPECTED
+    assert store.refresh() == 2 and store.refresh() == 0 and state(store) == EXPECTED
+    assert store.vacuum() >= 0 and state(store) == EXPECTED
+
+
 def test_change_feed_is_strictly_after_the_cursor(spark):
     df = spark.createDataFrame([(n, f"2024-01-0{n}") for n in range(1, 6)], "tender_id long, d string").withColumn("date_modified", F.to_timestamp("d"))
     ids = lambda **o: [r.tender_id for r in raw.change_feed(df, **o).collect()]
@@ -130,14 +201,17 @@ def test_documents_are_judged_one_by_one(spark):
     bodies = {
         "plain": '{"id":"a"}', "wrapped": '{"data":{"id":"b","value":[],"awards":{},"items":null,"bids":""}}', "list": "[1]", "broken": "{", "no id": '{"x":1}',
         "bad value": '{"id":"c","value":"much"}', "bad items": '{"id":"d","items":{"a":1}}', "own id": '{"id":"e","data":{"id":"f"}}', "twice": '{"id":"x","id":"g"}',
+        "number award": '{"id":"h","awards":[5]}', "text supplier": '{"id":"i","awards":[{"suppliers":["x"]}]}', "good award": '{"id":"j","awards":[{"suppliers":[{"name":"x"}]}],"items":[]}',
+        "ends": '{"id":"k"}\n\r\t ',
     }
     parsed = raw.parse_documents(frame(spark, list(bodies.items())))
     got = {r.source_file: (r.tender_id, r.reject_reason) for r in parsed.collect()}
     assert got == {
         "plain": ("a", None), "wrapped": ("b", None), "list": (None, "not an object"), "broken": (None, "unreadable"), "no id": (None, "no id"),
         "bad value": ("c", "malformed"), "bad items": ("d", "malformed"), "own id": ("e", None), "twice": ("g", None),
+        "number award": ("h", "malformed"), "text supplier": ("i", "malformed"), "good award": ("j", None), "ends": ("k", None),
     }
-    assert {r.outcome: r.n_documents for r in raw.run_counters(parsed).collect()}["ok"] == 4
+    assert {r.outcome: r.n_documents for r in raw.run_counters(parsed).collect()}["ok"] == 6
 
 
 def test_landing_keeps_or_replaces(spark):
@@ -154,6 +228,6 @@ def test_nothing_in_nothing_out(spark):
     rows = price_deviation(flatten_tenders(parsed))
     assert rows.isEmpty() and set(rows.columns) == set(TENDERS.fieldNames())
     assert flatten_items(parsed).isEmpty()
-    store = TenderStore(spark, fresh_folder(spark, "store"), 2)
+    store = TenderStore(spark, fresh_folder(spark, "store"))
     assert store.apply(frame(spark, [("x", "{")]), 0) == {"status": "up_to_date", "since": None, "n_tenders": 0}
     assert store.tenders().isEmpty() and store.cursor() is None
