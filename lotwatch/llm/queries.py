@@ -47,8 +47,8 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     gone = rollup.counts().filter("tokenizer = 'words-1' AND tokens < 50").select("doc_id")
     gone = stored(gone, "short").select("doc_id", *(F.lit(None).cast("string").alias(c) for c in ("source", "lang", "text")), F.lit(True).alias("deleted"))
     rollup.apply("delete", gone, "words-1", words)
-    left = docs.withColumn("text", F.when(F.contains("text", F.lit("\n")), body).otherwise(F.col("text"))).join(rollup.counts().select("doc_id"), "doc_id", "left_semi")
-    rollup.apply("second", left, "words-and-marks-1", marks)
+    left = docs.withColumn("text", F.when(F.contains("text", F.lit("\n")), body).otherwise(F.col("text")))
+    rollup.apply("second", left, "words-and-marks-1", marks, only=rollup.counts())
     rollup.apply("revise", revised, "words-1", words)
     return stored(rollup.totals(), "totals")
 

@@ -75,7 +75,7 @@ class TokenRollup:
         summed = deltas.groupBy(*GROUP).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
         return summed.filter("documents <> 0 OR tokens <> 0")
 
-    def apply(self, batch: str, changes: DataFrame, tokenizer: str, counter: Counter) -> bool:
+    def apply(self, batch: str, changes: DataFrame, tokenizer: str, counter: Counter, only: DataFrame | None = None) -> bool:
         """Merge changed documents; false if the batch was committed before.
 
         ``changes`` has ``doc_id``, ``source``, ``lang``, ``text`` and
@@ -84,7 +84,9 @@ class TokenRollup:
         of their own; a null ``deleted`` is false.  Of rows that repeat an id
         one counts: not deleted before deleted, then the most tokens, then the
         last source and language.  Rows without an id cannot be told apart or
-        found again: they are passed over.
+        found again: they are passed over.  ``only`` has the ``doc_id`` of the
+        documents to take, if not all; they are chosen after the counting, so
+        that no text is shuffled for it.
         """
         commits = self._commits()
         if any(row["batch"] == batch for row in commits):
@@ -102,6 +104,8 @@ class TokenRollup:
         entries = one.select(
             "doc_id", "at.source", "at.lang", F.lit(tokenizer).alias("tokenizer"), "at.tokens", (~F.col("at.stays")).alias("deleted"), F.lit(seq).cast("long").alias("seq")
         )
+        if only is not None:
+            entries = entries.join(only.select("doc_id").distinct(), "doc_id", "left_semi")
         entries.write.mode("overwrite").parquet(f"{folder}/entries")
         entries = self.spark.read.schema(ENTRY).parquet(f"{folder}/entries")
         added = entries.filter("NOT deleted").select(*GROUP, F.lit(1).alias("documents"), "tokens")
