@@ -14,7 +14,7 @@ import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,47 +108,48 @@ class MergedTable:
 
     # writing
 
-    def _commit(self, rows: DataFrame, kind: str, source: str = "batch", batch_id: int = -1) -> int:
-        """Write rows that carry ``_deleted``; ``_seq`` is the new version where they have none."""
-        version = self._state()[0] + 1
+    def _commit(self, rows: DataFrame, kind: str, source: str = "batch", batch_id: int = -1, version: int | None = None) -> Row:
+        """Write rows that carry ``_deleted``; ``_seq`` is the new version where they have none.  Returns the log entry."""
+        version = version or self._state()[0] + 1
         folder = f"{self.root}/data/{version}-{uuid.uuid4().hex}"
         if ARRIVAL not in rows.columns:
             rows = rows.withColumn(ARRIVAL, F.lit(version).cast("bigint"))
         rows.select(*self._stored.fieldNames()).write.parquet(folder)
         n_rows = self.spark.read.schema(self._stored).parquet(folder).count()
-        entry = [(version, kind, folder, source, batch_id, n_rows)]
-        self.spark.createDataFrame(entry, LOG).coalesce(1).write.mode("append").json(f"{self.root}/log")
-        return version
+        entry = Row(version=version, kind=kind, folder=folder, source=source, batch_id=batch_id, n_rows=n_rows)
+        self.spark.createDataFrame([entry], LOG).coalesce(1).write.mode("append").json(f"{self.root}/log")
+        return entry
+
+    def _append(self, rows: DataFrame, source: str, batch_id: int) -> int:
+        version, base, deltas = self._state()
+        entry = self._commit(rows, "delta", source, batch_id, version + 1)
+        self._compact_if_due(base, [*deltas, entry])
+        return entry["n_rows"]
 
     def replace(self, rows: DataFrame, batch_id: int = -1, source: str = "batch") -> int:
-        """Full replace, also when ``rows`` is computed from the table itself."""
-        return self._commit(rows.withColumn(DELETED, F.lit(False)), "base", source, batch_id)
+        """Full replace, also when ``rows`` is computed from the table itself; returns the number of rows."""
+        return self._commit(rows.withColumn(DELETED, F.lit(False)), "base", source, batch_id)["n_rows"]
 
     def merge(self, updates: DataFrame, batch_id: int = -1, source: str = "batch") -> int:
-        """Add rows; ``pick`` decides on reading what survives."""
-        version = self._commit(updates.withColumn(DELETED, F.lit(False)), "delta", source, batch_id)
-        self.compact_if_due()
-        return version
+        """Add rows; ``pick`` decides on reading what survives.  Returns the number of rows added."""
+        return self._append(updates.withColumn(DELETED, F.lit(False)), source, batch_id)
 
     def replace_keys(self, touched: DataFrame, rows: DataFrame, batch_id: int = -1, source: str = "batch") -> int:
         """Drop the rows of the touched keys and put ``rows`` in their place."""
         gone = self._same_keys(touched.select(*self.keys).distinct(), rows, "left_anti").withColumn(DELETED, F.lit(True))
-        version = self._commit(union_by_name(rows.withColumn(DELETED, F.lit(False)), gone), "delta", source, batch_id)
-        self.compact_if_due()
-        return version
+        return self._append(union_by_name(rows.withColumn(DELETED, F.lit(False)), gone), source, batch_id)
 
-    def compact_if_due(self) -> None:
+    def _compact_if_due(self, base: list, deltas: list) -> None:
         """Amortised over batches: a row is rewritten a few times, however many batches follow it."""
-        _, base, deltas = self._state()
         waiting, held = sum(e["n_rows"] for e in deltas), sum(e["n_rows"] for e in base)
-        if deltas and waiting > BASE_SHARE * held and len(deltas) > 1:
+        if len(deltas) > 2 and waiting > BASE_SHARE * held:
             self.compact()
         elif len(deltas) > DELTAS:
             self._commit(self.pick(self._folders(deltas)), "merged")
 
     def compact(self) -> int:
-        """Merge base and deltas into a new base."""
-        return self._commit(self._resolved().filter(~F.col(DELETED)), "base")
+        """Merge base and deltas into a new base; returns the number of rows."""
+        return self._commit(self._resolved().filter(~F.col(DELETED)), "base")["n_rows"]
 
     def vacuum(self) -> int:
         """Delete data folders that are current no more; readers that began before must have ended.  Returns how many."""
