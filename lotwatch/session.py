@@ -7,6 +7,8 @@ can reach: the one the cluster names in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -37,6 +39,18 @@ def build_session(app_name: str = "lotwatch", **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> str:
+    """Give this package to the executors of a cluster where it is not installed.
+
+    The archive is made in a temporary folder of the driver, which Spark serves
+    to every executor.  Functions that run in Python workers are found in it.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="lotwatch-"), "lotwatch"), "zip", root, "lotwatch")
+    spark.sparkContext.addPyFile(archive)
+    return archive
+
+
 _local_folders: dict[str, str] = {}
 
 
