@@ -20,7 +20,7 @@ from lotwatch.session import stored
 
 # Smaller payloads are never made revisits.
 LEAST_REVISIT_BYTES = 100
-# Payload bytes of an archive; a longer record has one of its own.
+# Bytes of an archive's records on average, before compression.
 ARCHIVE_BYTES = 24_000_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -46,7 +46,8 @@ def resolve(records: DataFrame, least: int = LEAST_REVISIT_BYTES) -> DataFrame:
         .filter("__n > 1")
         .select("payload_digest", "__original")
     )
-    joined = records.join(original, "payload_digest", "left")
+    # As a table its size is known to the planner, which then moves payloads only if it is large.
+    joined = records.join(stored(original, "originals"), "payload_digest", "left")
     again = long_enough & F.col("__original").isNotNull() & ~F.col("record_id").eqNullSafe(F.col("__original"))
     return joined.select(
         *(F.col(f"`{c}`") for c in columns),
@@ -70,7 +71,7 @@ def write_archives(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_B
     is_revisit = F.col("record_type") == "revisit"
     body = F.when(is_revisit, F.lit("").cast("binary")).otherwise(F.coalesce(F.col("payload").cast("binary"), F.lit("").cast("binary")))
     made = records.withColumn("__body", body)
-    total = made.agg(F.sum(F.octet_length("__body") + 400)).first()[0] or 0
+    total, n = made.agg(F.sum(F.octet_length("__body") + 400), F.count(F.lit(1))).first()
     head = F.concat(
         F.lit("WARC/1.1\r\n"),
         _header("WARC-Type", F.col("record_type")),
@@ -85,9 +86,9 @@ def write_archives(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_B
         F.lit("\r\n"),
     )
     record = F.concat(head.cast("binary"), F.col("__body")).cast("string")
-    # Rows are dealt out evenly, whatever their payload.
-    spread = made.repartition(int(total // archive_bytes) + 1)
-    spread.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    per_archive = max(1, archive_bytes * n // total) if n else 1
+    lines = made.select(record.alias("value")).write.option("maxRecordsPerFile", per_archive)
+    lines.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def parse_archive(data: bytes) -> Iterator[tuple]:
