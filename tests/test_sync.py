@@ -128,13 +128,13 @@ def test_unfinished_write_stays_invisible(spark, monkeypatch):
     assert table.read().groupBy("v").count().collect() == [(3, 20)]
 
 
-STEPS = [("tender_table", "merge"), ("item_table", "merge"), ("vectors", "replace_keys"), ("statistics", "replace_keys")]
+STEPS = [("tender_table", "merge"), ("item_table", "merge"), ("statistics", "replace_keys"), ("vectors", "replace_keys")]
 
 
 @pytest.mark.parametrize("step", STEPS, ids=[s[0] for s in STEPS])
 def test_replay_repairs_a_run_that_died_after_any_step(spark, step):
     store = TenderStore(spark, fresh_folder(spark, "store"))
-    store.apply(frame(spark, FIRST), 0)
+    store.apply(frame(spark, FIRST), 0, embed=False, refresh=False)
     part = getattr(store, step[0])
     whole = getattr(part, step[1])
 
@@ -148,7 +148,7 @@ def test_replay_repairs_a_run_that_died_after_any_step(spark, step):
     setattr(part, step[1], whole)
     assert store.apply(frame(spark, SECOND), 1)["status"] == "ok"
     assert state(store) == EXPECTED and store.quality_report().isEmpty()
-    assert store.items().count() == 5 and store.vectors.count() == 4
+    assert store.items().count() == 5 and store.vectors.count() == 3
 
 
 def test_two_runs_take_all_of_a_date_and_what_has_none(spark):
