@@ -25,8 +25,10 @@ def _unhashable(kind: str) -> bool:
     return "map<" in kind or "variant" in kind
 
 
-def _first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    window = Window.partitionBy(*keys).orderBy(*order, row_hash(df))
+def _first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], by_hash: bool) -> DataFrame:
+    # The hash reads every column, so it is left out where the order is total without it.
+    order = [*order, row_hash(df)] if by_hash else list(order) or [F.lit(0)]
+    window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(_RANK, F.row_number().over(window)).filter(F.col(_RANK) == 1).drop(_RANK)
 
 
@@ -35,24 +37,26 @@ def latest_version(
     keys: Sequence[str] = ("tender_id",),
     modified: str = "date_modified",
     tie_breakers: Sequence[str] = ("source_file",),
+    by_hash: bool = False,
 ) -> DataFrame:
     """One row per key: the most recently modified one.
 
     A row whose date is missing wins over dated rows.  Ties go to the highest
-    tie breakers, in the order given, and then by a hash of the row.  Null keys
-    count as one key.
+    tie breakers, in the order given, and with ``by_hash`` then by a hash of the
+    row.  Null keys count as one key.
     """
     order = [F.col(modified).desc_nulls_first(), *(F.col(c).desc_nulls_last() for c in tie_breakers)]
-    return _first_per_key(df, keys, order)
+    return _first_per_key(df, keys, order, by_hash)
 
 
 def last_arrival(
     df: DataFrame,
     keys: Sequence[str] = ("tender_id", "item_id"),
     arrival: Sequence[str] = ("batch_seq", "source_file", "position"),
+    by_hash: bool = False,
 ) -> DataFrame:
-    """One row per key: the one that arrived last, whatever its dates."""
-    return _first_per_key(df, keys, [F.col(c).desc_nulls_last() for c in arrival])
+    """One row per key: the one that arrived last, whatever its dates; ``by_hash`` decides between equals."""
+    return _first_per_key(df, keys, [F.col(c).desc_nulls_last() for c in arrival], by_hash)
 
 
 def first_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:

@@ -471,7 +471,7 @@ def stream_ingest_events(spark, d):
     columns = ["event_id", "ts", "event_type", "value"]
     first = table(spark, d, "events").select(*columns)
     kind = first.schema
-    store = tables.MergedTable(spark, f"{work}/table", "event_id", kind, lambda rows: versions.latest_version(rows, ["event_id"], "ts", []))
+    store = tables.MergedTable(spark, f"{work}/table", "event_id", kind, lambda rows: versions.latest_version(rows, ["event_id"], "ts", [], by_hash=True))
     late = first.filter("event_type = 'error'")
     newer = late.withColumns({"ts": F.col("ts") + F.expr("INTERVAL 1 DAY"), "value": F.col("value") + 1})
     older = late.withColumns({"ts": F.col("ts") - F.expr("INTERVAL 1 DAY"), "value": F.lit(-1.0)})

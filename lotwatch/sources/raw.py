@@ -181,8 +181,8 @@ def up_to_whole_date(rows: DataFrame, limit: int, modified: str = "date_modified
 def _latest(incoming: DataFrame, key: str, modified: str | None) -> DataFrame:
     """One row per key: the latest, or without dates the one a hash of the row chooses."""
     if modified is not None:
-        return latest_version(incoming, [key], modified, [])
-    return last_arrival(incoming, [key], [])
+        return latest_version(incoming, [key], modified, [], by_hash=True)
+    return last_arrival(incoming, [key], [], by_hash=True)
 
 
 def land(landed: DataFrame, incoming: DataFrame, overwrite: bool = False, key: str = "tender_id", modified: str | None = None) -> DataFrame:

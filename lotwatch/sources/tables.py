@@ -42,7 +42,7 @@ class MergedTable:
     ):
         self.spark, self.root, self.schema = spark, root, schema
         self.keys = [key] if isinstance(key, str) else list(key)
-        self.pick = pick or (lambda rows: last_arrival(rows, self.keys, [ARRIVAL]))
+        self.pick = pick or (lambda rows: last_arrival(rows, self.keys, [ARRIVAL], by_hash=True))
         self._stored = T.StructType([*schema.fields, T.StructField(ARRIVAL, T.LongType()), T.StructField(DELETED, T.BooleanType())])
 
     # reading

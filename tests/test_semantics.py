@@ -208,11 +208,12 @@ def test_exact_median_against_brute_force(spark, values_per_cell):
         assert got[k] == (pytest.approx(expected[k][0], rel=1e-12), expected[k][1])
 
 
-def test_attach_beyond_the_broadcast_bound(spark):
-    rows = spark.createDataFrame([(n % 7, float(n)) for n in range(100)], "k long, v double")
-    stats = rows.groupBy("k").agg(F.sum("v").alias("s"))
-    small, large = groups.attach(rows, stats, ["k"]), groups.attach(rows, stats, ["k"], max_rows=3)
-    assert sorted(small.collect()) == sorted(large.collect())
+def test_attach_keeps_all_rows_and_gives_null_keys_nothing(spark):
+    rows = spark.createDataFrame([(n % 7 or None, float(n)) for n in range(100)], "k long, v double")
+    stats = rows.filter("k IS NOT NULL").groupBy("k").agg(F.sum("v").alias("s"))
+    found = groups.attach(rows, stats, ["k"]).collect()
+    sums = {k: float(sum(n for n in range(100) if n % 7 == k)) for k in range(1, 7)}
+    assert sorted((r.v, r.s) for r in found) == sorted((float(n), sums.get(n % 7)) for n in range(100))
 
 
 # --- flattening ------------------------------------------------------------------
@@ -220,7 +221,7 @@ def test_attach_beyond_the_broadcast_bound(spark):
 
 @pytest.mark.parametrize(
     "text, value",
-    [("12.5", 12.5), (" 7 ", 7.0), ("1e3", 1000.0), (".5", 0.5), ("", None), ("abc", None), ("1.5d", None), ("1_000", None), ("NaN", None), ("Infinity", None), (None, None)],
+    [("12.5", 12.5), (" 7 ", 7.0), ("1e3", 1000.0), (".5", 0.5), ("", None), ("abc", None), ("1.5d", None), ("1_000", None), ("NaN", None), ("Infinity", None), ("1e999", None), ("-1e999", None), (None, None)],
 )
 def test_lenient_numbers(spark, text, value):
     assert one(spark, vl.to_double(F.col("x")), x=text) == value
