@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lotwatch import fixed_values as fixed
 from lotwatch.functions.text import contains_ci
 from lotwatch.functions.values import exact_mean, exact_sum, hours_between, iso_day, iso_instant, money, ratio
-from lotwatch.operators.evidence import with_evidence_pages
+from lotwatch.operators.evidence import evidence_rows, joined_evidence
 from lotwatch.operators.filters import category_hedge, in_band, is_masked, not_masked, optional_contains, present
 from lotwatch.operators.groups import exact_median, leave_one_out
 from lotwatch.session import stored
@@ -33,37 +33,49 @@ def _top(df: DataFrame, order: Sequence[str], ties: Sequence[str], rows: int = f
     return df.orderBy(*keys).limit(rows)
 
 
+PAIR = ["buyer_name", "supplier_name"]
+
 # --- supplier and buyer reports ----------------------------------------------
 
 
-def contract_splitting(
+def splitting_groups(
     tenders: DataFrame,
     buyer: str | None = None,
     low: float = fixed.SPLITTING_LOW,
     high: float = fixed.SPLITTING_HIGH,
     min_contracts: int = fixed.SPLITTING_MIN_CONTRACTS,
     masks: Sequence[str] = MASKS,
-) -> DataFrame:
-    """Buyer and supplier pairs with several awards just below a threshold, with evidence."""
+) -> tuple[DataFrame, DataFrame]:
+    """Buyer and supplier pairs with several awards just below a threshold, one row per pair, and the ids behind them as a long table."""
     rows = tenders.filter(
         in_band("awarded_amount", low, high) & present("buyer_name", "supplier_name") & not_masked(masks=masks)
     )
     rows = optional_contains(rows, "buyer_name", buyer)
-    pair = ["buyer_name", "supplier_name"]
-    groups = rows.groupBy(*pair).agg(
+    groups = rows.groupBy(*PAIR).agg(
         F.count(F.lit(1)).alias("n_contracts"),
         total("awarded_amount").alias("total_amount"),
         F.min("awarded_amount").alias("min_amount"),
         F.max("awarded_amount").alias("max_amount"),
     )
-    ranked = _top(groups.filter(F.col("n_contracts") >= min_contracts), ["n_contracts", "total_amount"], pair)
-    return with_evidence_pages(ranked, rows, pair, "n_contracts")
+    ranked = _top(groups.filter(F.col("n_contracts") >= min_contracts), ["n_contracts", "total_amount"], PAIR)
+    return ranked, evidence_rows(ranked, rows, PAIR)
 
 
-def supplier_concentration(tenders: DataFrame, buyer: str, masks: Sequence[str] = MASKS) -> DataFrame:
-    """Who wins most at one buyer, with the share of the listed total and evidence."""
+def contract_splitting(tenders: DataFrame, buyer: str | None = None, **how) -> DataFrame:
+    """``splitting_groups`` with the ids of each pair as one text."""
+    return joined_evidence(*splitting_groups(tenders, buyer, **how), PAIR)
+
+
+def concentration_groups(tenders: DataFrame, buyer: str, masks: Sequence[str] = MASKS) -> tuple[DataFrame, DataFrame]:
+    """Who wins most at one buyer, with the share of the listed total, and the ids behind them as a long table."""
     rows = tenders.filter(contains_ci(F.col("buyer_name"), buyer) & not_masked(masks=masks))
-    return with_evidence_pages(_leading_suppliers(rows), rows, ["supplier_name"], "n_wins")
+    ranked = _leading_suppliers(rows)
+    return ranked, evidence_rows(ranked, rows, ["supplier_name"])
+
+
+def supplier_concentration(tenders: DataFrame, buyer: str, masks: Sequence[str] = MASKS) -> DataFrame:
+    """``concentration_groups`` with the ids of each supplier as one text."""
+    return joined_evidence(*concentration_groups(tenders, buyer, masks), ["supplier_name"])
 
 
 def supplier_wins(rows: DataFrame) -> DataFrame:
