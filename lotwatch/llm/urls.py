@@ -11,20 +11,18 @@ import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lotwatch.session import stored
 
-# Longest word that a host name is searched for.
+# Longest unknown span of a host name that counts as one; counted words may have any length.
 LONGEST_WORD = 20
-# Tokens are counted in so many cells, which bounds the model: 4 MB.
+# Tokens that the smoothing reckons with at least; more, where more are counted.
 TOKEN_CELLS = 1 << 18
 SMOOTHING = 1.0
+EVEN = 1e-9
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -83,11 +81,15 @@ def split_name(name: str, known: dict[tuple[int, int], float], total: float, lon
     letters counts 10 / 10^n.  Of equal splits the one whose last word is
     longest wins.
     """
+    far: dict[int, list[int]] = {}
+    for start, end in known:
+        if end - start > longest:
+            far.setdefault(end, []).append(start)
     best, back = [0.0], [0]
     for end in range(1, len(name) + 1):
         score, at = max(
             (best[start] + (math.log10(known[start, end]) if (start, end) in known else 1.0 - (end - start)) - math.log10(total), -start)
-            for start in range(max(0, end - longest), end)
+            for start in (*range(max(0, end - longest), end), *far.get(end, ()))
         )
         best.append(score)
         back.append(-at)
@@ -112,7 +114,13 @@ def split_hosts(hosts: DataFrame, words: DataFrame, longest: int = LONGEST_WORD)
     spans = spans.withColumn("word", F.expr("substring(label, start + 1, end - start)"))
     words = stored(words, "words")
     total = float(words.agg(F.sum("n")).first()[0] or 1)
-    found = spans.join(words, "word").groupBy("label").agg(F.collect_list(F.struct("start", "end", "n")).alias("found"))
+    # Longer words are looked up by their beginnings.
+    long = words.filter(F.length("word") > longest).select(F.col("word").alias("whole"), "n", F.substring("word", 1, longest).alias("word"))
+    longer = spans.filter(F.col("end") - F.col("start") == longest).join(long, "word").filter(F.expr("substring(label, start + 1, length(whole)) = whole"))
+    hits = spans.join(words, "word").select("label", "start", "end", "n").unionByName(
+        longer.select("label", "start", (F.col("start") + F.length("whole")).alias("end"), "n")
+    )
+    found = hits.groupBy("label").agg(F.collect_list(F.struct("start", "end", "n")).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,35 +136,36 @@ def split_hosts(hosts: DataFrame, words: DataFrame, longest: int = LONGEST_WORD)
     return parts.join(split, "label").groupBy("host").agg(F.flatten(F.transform(ordered, lambda x: x["tokens"])).alias("tokens"))
 
 
-def _cells(host_tokens: Column, path: Column, cells: int) -> Column:
+def _tokens(host_tokens: Column, path: Column) -> Column:
     named = F.transform(F.coalesce(host_tokens, F.array().cast("array<string>")), lambda t: F.concat(F.lit("h:"), t))
     walked = F.transform(F.filter(F.split(F.translate(path, UPPER, LOWER), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 0), lambda t: F.concat(F.lit("p:"), t))
-    return F.transform(F.concat(named, walked), lambda t: F.pmod(F.xxhash64(t), F.lit(cells)).cast("int"))
-
-
-@dataclass(frozen=True)
-class NaiveBayes:
-    """Log-odds of ``allow`` against ``block``: of the classes, and of each token cell."""
-
-    prior: float
-    weights: np.ndarray
-
-    def odds(self, cells: np.ndarray) -> float:
-        return self.prior + float(self.weights[cells].sum())
-
+    return F.concat(named, walked)
 
-def fit_bayes(counts: pd.DataFrame, urls: dict[str, int], cells: int = TOKEN_CELLS, smoothing: float = SMOOTHING) -> NaiveBayes:
-    """From ``cell``, ``verdict``, ``n`` and the number of URLs of each verdict."""
-    table = np.zeros((2, cells))
-    for row, verdict in enumerate(("block", "allow")):
-        own = counts[counts["verdict"] == verdict]
-        table[row, own["cell"].to_numpy(np.int64)] = own["n"]
-    logs = np.log(table + smoothing) - np.log(table.sum(axis=1, keepdims=True) + smoothing * cells)
-    block, allow = (urls.get(v, 0) + smoothing for v in ("block", "allow"))
-    return NaiveBayes(math.log(allow / block), logs[1] - logs[0])
 
+def bayes_odds(rows: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
+    """The rows (``row``, ``verdict``, ``tokens``) without a verdict, with ``odds``: log-odds of ``allow`` against ``block``.
 
-def judge(pages: DataFrame, rules: Sequence[Rule], key: str = "page_id", url: str = "url", html: str = "html", cells: int = TOKEN_CELLS) -> DataFrame:
+    Learnt from the rows that have a verdict.  Tokens are counted exactly in a
+    distributed table; the vocabulary is as large as that, or ``TOKEN_CELLS``.  A token that
+    is not has the classes' smoothed share alone.
+    """
+    taught = rows.filter(F.col("verdict").isNotNull())
+    of = lambda v: F.count(F.when(F.col("verdict") == v, True))
+    counts = stored(taught.select("verdict", F.explode("tokens").alias("token")).groupBy("token").agg(of("allow").alias("allow"), of("block").alias("block")), "counts")
+    sizes = counts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("allow"), F.lit(0)).alias("allow"), F.coalesce(F.sum("block"), F.lit(0)).alias("block")).first()
+    seen = taught.agg(of("allow").alias("allow"), of("block").alias("block")).first()
+    prior = math.log((seen["allow"] + smoothing) / (seen["block"] + smoothing))
+    vocabulary = smoothing * max(TOKEN_CELLS, sizes["n"])
+    unseen = math.log((sizes["block"] + vocabulary) / (sizes["allow"] + vocabulary))
+    weights = counts.select("token", F.log((F.col("allow") + smoothing) / (F.col("block") + smoothing)).alias("weight"))
+    open_rows = rows.filter(F.col("verdict").isNull())
+    each = open_rows.select("row", F.explode("tokens").alias("token"))
+    sums = each.join(weights, "token").groupBy("row").agg(F.sum("weight").alias("sum"))
+    odds = F.lit(prior) + F.size("tokens") * F.lit(unseen) + F.coalesce("sum", F.lit(0.0))
+    return open_rows.join(sums, "row", "left").withColumn("odds", odds).drop("sum")
+
+
+def judge(pages: DataFrame, rules: Sequence[Rule], key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per page: ``key``, ``host``, ``path``, ``rule``, ``verdict``.
 
     The longest fitting rule decides; else naive Bayes, where even odds allow.
@@ -170,22 +179,12 @@ def judge(pages: DataFrame, rules: Sequence[Rule], key: str = "page_id", url: st
     hosts = split_hosts(decided.select("host").distinct(), word_counts(pages, html))
     rows = stored(
         decided.join(hosts, "host", "left").select(
-            "__key", "host", "path", F.col("rule.text").alias("rule"), F.col("rule.verdict").alias("verdict"), _cells(F.col("tokens"), F.col("path"), cells).alias("cells")
+            "__key", "host", "path", F.col("rule.text").alias("rule"), F.col("rule.verdict").alias("verdict"), _tokens(F.col("tokens"), F.col("path")).alias("tokens"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "tokens",
     )
-    taught = rows.filter(F.col("verdict").isNotNull())
-    counts = taught.select("verdict", F.explode("cells").alias("cell")).groupBy("cell", "verdict").agg(F.count(F.lit(1)).alias("n"))
-    urls = {r["verdict"]: r["n"] for r in taught.groupBy("verdict").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # At most two rows per cell.
-    model = fit_bayes(counts.toPandas(), urls, cells)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            given, tokens = batch.column("verdict").to_pylist(), batch.column("cells").to_pylist()
-            verdicts = [v or ("allow" if model.odds(np.array(t, np.int64)) >= 0 else "block") for v, t in zip(given, tokens, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(verdicts, pa.string())], names=["__key", "host", "path", "rule", "verdict"])
-
-    fields = {f.name: f for f in rows.schema.fields}
-    schema = T.StructType([fields[c] for c in ("__key", "host", "path", "rule")] + [T.StructField("verdict", T.StringType())])
-    return rows.select("__key", "host", "path", "rule", "verdict", "cells").mapInArrow(run, schema).withColumnRenamed("__key", key)
+    # Sums of logarithms differ in the last bits by their order; what is even within those allows.
+    judged = bayes_odds(rows).withColumn("verdict", F.when(F.col("odds") >= -EVEN, "allow").otherwise("block"))
+    out = ["__key", "host", "path", "rule", "verdict"]
+    return rows.filter(F.col("verdict").isNotNull()).select(*out).unionByName(judged.select(*out)).withColumnRenamed("__key", key)
