@@ -8,6 +8,8 @@ those of known licences and notices.
 
 from __future__ import annotations
 
+import pkgutil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,31 @@ KNOWN = [
     ("MIT", "Released under the MIT License."),
     ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
 ]
+# Full texts in ``licence_texts``, one file each.
+FILES = [
+    "Apache-2.0", "Artistic-1.0-Perl", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0",
+    "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "Unlicense",
+]
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """Whole licences, also in the shapes that projects give them: without title, with marks for numbers, without what follows the terms."""
+    texts = [(name, text.partition("\n")[2]) for name, text in (("MIT", MIT), ("ISC", ISC))]
+    texts += [("MIT", "The MIT License (MIT)\n" + texts[0][1]), ("MIT", "The MIT License\n" + texts[0][1])]
+    for name in FILES:
+        text = pkgutil.get_data("lotwatch.llm", f"licence_texts/{name}.txt").decode()
+        texts.append((name, text))
+        if END_OF_TERMS in text:
+            texts.append((name, text[: text.index(END_OF_TERMS) + len(END_OF_TERMS)]))
+        if name.startswith("BSD"):
+            marked = text.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")
+            title = f"BSD {name[4]}-Clause License\n"
+            texts += [(name, marked), (name, title + text), (name, title + marked)]
+    return texts
+
+
+KNOWN += full_texts()
 # Spellings that count as one, within words or between them.
 SPELLINGS = [
     ("licence", "license"),
@@ -53,7 +80,8 @@ SPELLINGS = [
     ("programme", "program"),
 ]
 MARKS = r"[^\p{L}\p{N}\n]+"
-COPYRIGHT_LINE = r"^(copyright|c) .*|^copyright$|^all rights reserved$"
+# Copyright and its sign, or a year, or one name alone; a line of prose that begins with the word stays.
+COPYRIGHT_LINE = r"^(copyright (c|copyright)|c copyright)( .*)?$|^(copyright|c) (.* )?(yyyy|(1[89]|20)\d\d)( .*)?$|^copyright( \S+)?$|^all rights reserved$"
 
 
 def canonical_lines(text: Column) -> Column:
