@@ -155,15 +155,13 @@ def test_pipeline_stages_by_brute_force(spark):
         largest[r["text"]] = max(r["doc_id"], largest.get(r["text"], -1))
     kept = {r["doc_id"]: r["text"] for r in good if largest[r["text"]] == r["doc_id"]}
 
-    from test_copies import _fingerprint, _roots
+    from test_near_copies import _expected
 
-    prints = {k: _fingerprint(t) for k, t in kept.items()}
-    roots, least = _roots(prints.values()), {}
-    for k, f in prints.items():
-        least[roots[f]] = min(k, least.get(roots[f], k))
+    left, links = _expected(sorted(kept.items()))
+    assert links
     rows = corpus_pipeline.run(spark, FOLDER).collect()
-    assert {r["doc_id"] for r in rows} == set(least.values())
-    assert {r["doc_id"]: r["length"] for r in rows if r["piece"] == 0}.keys() == set(least.values())
+    assert {r["doc_id"] for r in rows} == set(left)
+    assert {r["doc_id"]: r["length"] for r in rows if r["piece"] == 0}.keys() == set(left)
 
 
 def test_pipeline_of_nothing(spark):
