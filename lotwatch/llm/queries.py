@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwatch.llm import bpe, exact_dedup, licences, pack, quality, simhash, token_counts, urls, vectors, warc
+from lotwatch.llm import alignment, bpe, conversations, exact_dedup, language, licences, pack, quality, simhash, token_counts, urls, vectors, warc
 from lotwatch.session import fresh_folder, stored
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -103,6 +104,21 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = language.predict(docs, language.fit(docs), keep=["doc_id"])
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(table(spark, folder, "documents"), BYTE_BPE, PIECE_BPE)
+
+
+def op13_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations")
+    return conversations.with_missing(conversations.repair(conversations.damage(rows)), rows)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
@@ -114,6 +130,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_urls": op9_urls,
     "op10_simhash": op10_simhash,
+    "op11_language": op11_language,
+    "op12_alignment": op12_alignment,
+    "op13_conversations": op13_conversations,
 }
 
 _SPELT = "regexp_replace(replace(lower(coalesce(text, '')), '©', ' copyright '), '[^\\p{L}\\p{N}\\n]+', ' ', 'g')"
