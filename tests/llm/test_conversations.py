@@ -48,6 +48,9 @@ def _best(kinds):
                 ways += [(2 + extra + c, "R" + s) for r in "ua" if r in grow[said] for c, s in [best(i + 1, r, 3)]]
         return min(ways, default=(10**9, ""))
 
+    for i in range(len(kinds), 0, -100):
+        for said in grow:
+            best(i, said, 3)
     return best(0, "", 3)
 
 
