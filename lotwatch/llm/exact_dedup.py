@@ -2,9 +2,10 @@
 
 Keys are 64-bit hashes of whole texts.  A directory starts with one bucket and
 doubles while a bucket holds more keys than its capacity; only the overfull
-buckets are split.  Owner tasks take the buckets, chain the texts whose hashes
-collide, compare them byte by byte, and write one entry per different text.
-Documents are then resolved against the entries.
+buckets are split.  Texts meet within bucket and hash, where they are compared
+byte by byte, and leave one entry per different text; owner tasks take the
+buckets and chain the entries whose hashes collide.  A document is then looked
+up by its cell of the directory, its bucket, its hash and along the chain.
 
 Only DataFrame functions are used.  Copies of a text are counted before they
 are shuffled, so a text that fills a third of the table costs a row per task.
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lotwatch.session import fresh_folder
+from lotwatch.session import fresh_folder, stored
 
 # Different keys in a bucket of the index.
 BUCKET_KEYS = 100_000
@@ -32,49 +33,64 @@ def text_hash(text: Column) -> Column:
 def directory(keys: DataFrame, bucket_keys: int = BUCKET_KEYS, max_depth: int = MAX_DEPTH) -> DataFrame:
     """``cell``, ``depth`` and ``bucket`` for every prefix of ``max_depth`` bits that a key ``h`` has.
 
-    Splitting an overfull bucket by one more bit, again and again, ends for
-    each prefix at the first depth where it has no more than ``bucket_keys``
-    keys.  So one count of the cells gives the directory of all doublings.
+    All keys begin in one bucket.  The directory doubles as long as a bucket
+    holds more than ``bucket_keys`` keys; only such buckets are split.  A bucket
+    is named by its first cell.
     """
     cell = F.shiftrightunsigned("h", 64 - max_depth)
-    cells = keys.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    levels = cells.select("cell", "n", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth")).withColumn(
-        "prefix", F.expr(f"shiftrightunsigned(cell, {max_depth} - depth)")
-    )
-    buckets = levels.groupBy("depth", "prefix").agg(F.sum("n").alias("n"))
-    enough = buckets.filter((F.col("n") <= bucket_keys) | (F.col("depth") == max_depth)).select("depth", "prefix")
-    found = levels.join(enough, ["depth", "prefix"]).groupBy("cell").agg(F.min("depth").alias("depth"))
-    # A bucket is named by its first cell.
-    return found.withColumn("bucket", F.expr(f"shiftleft(shiftrightunsigned(cell, {max_depth} - depth), {max_depth} - depth)"))
+    now = stored(keys.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")), "cells").select("cell", "n", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("bucket"))
+    for depth in range(1, max_depth + 1):
+        over = now.groupBy("bucket").agg(F.sum("n").alias("held")).filter(F.col("held") > bucket_keys).select("bucket", F.lit(True).alias("over"))
+        if over.isEmpty():
+            break
+        split = now.join(over, "bucket", "left").withColumn("depth", F.when(F.col("over"), depth).otherwise(F.col("depth")))
+        low = max_depth - depth
+        first = F.shiftleft(F.shiftright("cell", low), low)
+        now = stored(split.select("cell", "n", "depth", F.when(F.col("over"), first).otherwise(F.col("bucket")).alias("bucket")), "directory")
+    return now.select("cell", "depth", "bucket")
+
+
+def _in_bucket(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` with the bucket that the directory has for the first bits of their ``h``."""
+    cells = rows.sparkSession.read.parquet(f"{path}/directory")
+    # At most 2 ** MAX_DEPTH cells; their depth is the directory's, the same in each row.
+    size = cells.select(F.first("bits")).first()
+    bits = size[0] if size and size[0] is not None else 0
+    cell = F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")
+    return rows.join(F.broadcast(cells.select("cell", "bucket")), cell == F.col("cell")).drop("cell")
 
 
 def build_index(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, bucket_keys: int = BUCKET_KEYS, max_depth: int = MAX_DEPTH, hash_text=text_hash
+    docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, bucket_keys: int = BUCKET_KEYS, max_depth: int = MAX_DEPTH, hash_text=text_hash, carry: bool = False
 ) -> DataFrame:
     """Write the index of all texts below ``path`` (a fresh shared folder, if not given) and read it.
 
     One row per different text: ``bucket``, ``h``, ``chain`` (number among the
     texts of this hash), ``digest`` (SHA-256), ``keep_id`` (largest key, null
-    only if all are), ``group_size``.  Null texts count as empty.
+    only if all are), ``group_size``.  Null texts count as empty.  With
+    ``carry``, the files of entries hold the whole row that stays too.
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{key}`").alias("id"), body.alias("body"), hash_text(body).alias("h"))
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text]
+    rest = F.struct(F.col(f"`{text}`").isNull().alias("none"), *others)
+    rows = docs.select(F.col(f"`{key}`").alias("id"), body.alias("body"), hash_text(body).alias("h"), *([rest.alias("rest")] if carry else []))
     path = path or fresh_folder(spark, "index")
     rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/keys")
     keys = spark.read.parquet(f"{path}/keys")
     # Hashes are even, so few doublings beyond the average load are ever needed.
     max_depth = min(max_depth, (keys.count() // bucket_keys).bit_length() + 3)
-    directory(keys, bucket_keys, max_depth).write.parquet(f"{path}/directory")
-    cells = spark.read.parquet(f"{path}/directory").select("cell", "bucket")
-    cell = F.shiftrightunsigned("h", 64 - max_depth)
-    owned = rows.join(F.broadcast(cells), cell == F.col("cell"))
-    # Grouping by the text itself compares bytes; the hash only chooses the owner.
-    entries = (
-        owned.groupBy("bucket", "h", "body")
-        .agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("bucket", "h", F.unhex(F.sha2("body", 256)).alias("digest"), "keep_id", "group_size")
-    )
+    directory(keys, bucket_keys, max_depth).withColumn("bits", F.lit(max_depth)).write.parquet(f"{path}/directory")
+    # The directory finds the bucket; grouping by the text itself compares bytes, copies are counted before they move.
+    values = [F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
+    if carry:
+        # Of rows that repeat the key, that with the smallest hash; a null key is least.
+        hashable = [c for f, c in zip([f for f in docs.schema if f.name != text], (f"rest.c{i}" for i, n in enumerate(docs.columns) if n != text), strict=True) if "map<" not in f.dataType.simpleString()]
+        values.append(F.max_by("rest", F.struct("id", F.negative(F.xxhash64(*hashable, "rest.none")))).alias("rest"))
+    grouped = _in_bucket(rows, path).groupBy("bucket", "h", "body").agg(*values)
+    kept = ["bucket", "h", F.unhex(F.sha2("body", 256)).alias("digest"), "keep_id", "group_size"]
+    grouped.select(*kept, *(["body", "rest"] if carry else [])).write.parquet(f"{path}/entries")
+    entries = spark.read.parquet(f"{path}/entries").select("bucket", "h", "digest", "keep_id", "group_size")
     chain = Window.partitionBy("bucket", "h").orderBy("digest")
     # A bucket has one owner, whose task holds no more than the bucket's entries.
     chained = entries.repartition("bucket").withColumn("chain", F.row_number().over(chain))
@@ -82,18 +98,21 @@ def build_index(
     return spark.read.schema(chained.schema).parquet(f"{path}/buckets")
 
 
-def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", index: DataFrame | None = None, **how) -> DataFrame:
+def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """One row per document: ``key``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
     Of equal texts the one with the largest key stays; a null key loses to any
     other, and where all are null, all rows are marked kept.  Rows repeated
-    whole count in the size of their group and are marked alike.
+    whole count in the size of their group and are marked alike.  A document
+    finds its entry by cell, bucket and hash, and along the chain by the
+    digest of its text.
     """
-    index = build_index(docs, key, text, **how) if index is None else index
+    path = fresh_folder(docs.sparkSession, "index")
+    index = build_index(docs, key, text, path, **how)
     hash_text = how.get("hash_text", text_hash)
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(F.col(f"`{key}`").alias("__key"), hash_text(body).alias("h"), F.unhex(F.sha2(body, 256)).alias("digest"))
-    found = rows.join(index.select("h", "digest", "keep_id", "group_size"), ["h", "digest"])
+    found = _in_bucket(rows, path).join(index.select("bucket", "h", "digest", "keep_id", "group_size"), ["bucket", "h", "digest"])
     return found.select(
         F.col("__key").alias(key),
         "keep_id",
@@ -103,16 +122,14 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", index:
     )
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", index: DataFrame | None = None, **how) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The documents with one row of each group of equal texts left, all columns as they are.
 
-    Of rows that repeat the key that stays, one is left.
+    They are the rows that the index's entries hold.  Of rows that repeat the
+    key that stays, the one with the smallest hash of its values is left.
     """
-    index = build_index(docs, key, text, **how) if index is None else index
-    staying = index.select(F.struct("digest", F.col("keep_id").alias("id")).alias("__same"))
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    named = F.struct(F.unhex(F.sha2(body, 256)).alias("digest"), F.col(f"`{key}`").alias("id"))
-    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), named.alias("__name"))
-    kept = held.join(staying, F.col("__name") == F.col("__same"), "left_semi")
-    first = Window.partitionBy("__name").orderBy(F.lit(0))
-    return kept.withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*(F.col(f"__row.`{c}`").alias(c) for c in docs.columns))
+    path = fresh_folder(docs.sparkSession, "index")
+    build_index(docs, key, text, path, carry=True, **how)
+    entries = docs.sparkSession.read.parquet(f"{path}/entries")
+    of = {text: F.when(~F.col("rest.none"), F.col("body"))}
+    return entries.select(*(of.get(c, F.col(f"rest.c{i}")).alias(c) for i, c in enumerate(docs.columns)))
