@@ -155,10 +155,15 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str
     name = F.col(f"`{key}`")
     rows = docs.select(name.alias("id"), F.col(f"`{language}`").cast("string").alias("language"), F.col(f"`{text}`").alias("text"))
     rows = rows.filter(F.col("id").isNotNull() & F.col("language").isNotNull() & F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False)) & ~held_out(F.col("id")))
-    order = Window.partitionBy("language").orderBy(F.xxhash64("id"), "id")
-    each = rows.groupBy("id").agg(F.min("language").alias("language"))
-    chosen = each.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= learnt).select("id", "language")
-    counts = stored(_counts(rows.join(chosen, ["id", "language"]).select("language", "text")), "grams")
+    each = stored(rows.groupBy("id").agg(F.min("language").alias("language")), "ids")
+    sizes = each.groupBy("language").agg(F.count(F.lit(1)).alias("size"))
+    # Twice as many as wanted, by a hash of the id, go into the ordering; of few rows all.
+    draw = F.shiftrightunsigned(F.xxhash64("id"), 11) / float(1 << 53)
+    few = each.withColumn("draw", draw).join(F.broadcast(sizes), "language").filter(F.col("draw") * F.col("size") <= 2 * learnt + 1000)
+    order = Window.partitionBy("language").orderBy("draw", "id")
+    chosen = few.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= learnt).select("id", "language")
+    # At most ``learnt`` ids a language.
+    counts = stored(_counts(rows.join(F.broadcast(chosen), ["id", "language"]).select("language", "text")), "grams")
     # One row per language.
     totals = {r["language"]: r["total"] for r in counts.groupBy("language").agg(F.sum("n").alias("total")).collect()}
     languages = sorted(totals)

@@ -1,7 +1,7 @@
 """Licence scans by canonical digests.
 
-A text is brought to a canonical form: lower case, marks and white space as
-single spaces, copyright lines left out, equivalent spellings made one.  The
+A text is brought to a canonical form: copyright lines left out, lower case,
+marks and white space as single spaces, equivalent spellings made one.  The
 SHA-256 of the whole canonical text, and of each of its lines, is joined to
 those of known licences and notices.
 """
@@ -80,18 +80,29 @@ SPELLINGS = [
     ("programme", "program"),
 ]
 MARKS = r"[^\p{L}\p{N}\n]+"
-# Copyright and its sign, or a year, or one name alone; a line of prose that begins with the word stays.
-COPYRIGHT_LINE = r"^(copyright (c|copyright)|c copyright)( .*)?$|^(copyright|c) (.* )?(yyyy|(1[89]|20)\d\d)( .*)?$|^copyright( \S+)?$|^all rights reserved$"
+# A copyright line begins with the word and a sign or a year, or with a sign and the word or a year ...
+_SIGN, _YEAR = r"(?:\(c\)|©|&copy;)", r"[\[<{]?(?:(?:1[89]|20)[0-9][0-9]|yyyy|year)"
+COPYRIGHT = rf"^[^\p{{L}}\p{{N}}(©&]*(?:copyright[ \t]*[:,]?[ \t]*(?:{_SIGN}|(?:by[ \t]+)?{_YEAR})|{_SIGN}[ \t]*(?:copyright|{_YEAR}))"
+# ... and makes no statement.
+VERBS = ["is", "are", "was", "were", "be", "been", "has", "have", "had", "must", "shall", "should", "may", "might", "can", "could", "will", "would", "do", "does", "did", "applies", "apply", "protects", "protect", "means", "you", "we", "this"]
+VERB = rf"(?:^|[^\p{{L}}\p{{N}}])(?:{'|'.join(VERBS)})(?:[^\p{{L}}\p{{N}}]|$)"
+RESERVED = r"^[^\p{L}\p{N}]*all rights reserved[^\p{L}\p{N}]*$"
+
+
+def is_copyright_line(line: Column) -> Column:
+    """Whether a line names holders of a copyright and says no more; judged with its marks and capitals."""
+    low = F.lower(line)
+    return F.rlike(low, F.lit(COPYRIGHT)) & ~F.rlike(line, F.lit(VERB)) | F.rlike(low, F.lit(RESERVED))
 
 
 def canonical_lines(text: Column) -> Column:
     """Canonical lines of a text that are neither blank nor copyright lines; null has none."""
-    body = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("©"), F.lit(" copyright "))
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: ~is_copyright_line(line))
+    body = F.replace(F.lower(F.array_join(lines, "\n")), F.lit("©"), F.lit(" copyright "))
     body = F.regexp_replace(body, MARKS, " ")
     for given, one in SPELLINGS:
         body = F.replace(body, F.lit(given), F.lit(one))
-    lines = F.transform(F.split(body, "\n"), lambda line: F.trim(line))
-    return F.filter(lines, lambda line: (line != "") & ~F.rlike(line, F.lit(COPYRIGHT_LINE)))
+    return F.filter(F.transform(F.split(body, "\n"), lambda line: F.trim(line)), lambda line: line != "")
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:

@@ -39,25 +39,28 @@ WORD_LENGTH = [3.5, 4, 4.5, 4.8, 5.1, 5.5, 6, 6.5, 7, 8, 10]
 WORDS = [1, 5, 15, 40, 100, 200, 400, 800, 2000, 8000]
 MEASURES = [("line repeats", SHARE), ("three-word repeats", SHARE), ("different words", SHARE), ("capitals", SHARE), ("digits", SHARE), ("marks", SHARE), ("word length", WORD_LENGTH), ("words", WORDS)]
 SIZE = SHAPES + sum(len(bounds) + 1 for _, bounds in MEASURES)
-REMEMBERED_WORDS = 200_000
+# Bounds of memory only: words whose shapes a worker remembers, and the longest of them.
+REMEMBERED_WORDS, REMEMBERED_LENGTH = 200_000, 200
 
 
 def _shape(word: str) -> int:
     """Number of a word's shape: kinds of characters in order, runs as one, marks as themselves."""
     kinds, last = [], ""
-    for c in word[:40]:
+    for c in word:
         kind = "a" if c.islower() else "A" if c.isupper() else "9" if c.isdigit() else "x" if c.isalpha() else c
         if kind != last or kind not in "aA9x":
             kinds.append(kind)
         last = kind
-    return zlib.crc32("".join(kinds[:12]).encode()) % SHAPES
+    return zlib.crc32("".join(kinds).encode()) % SHAPES
 
 
 class _Shapes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= REMEMBERED_WORDS:
             self.clear()
-        self[word] = shape = _shape(word)
+        shape = _shape(word)
+        if len(word) <= REMEMBERED_LENGTH:
+            self[word] = shape
         return shape
 
 
@@ -103,6 +106,18 @@ class Model:
         return 1 / (1 + np.exp(-z))
 
 
+def gradient(w: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> np.ndarray:
+    """Of the non-negative risk by the weights and, last, the bias; a negative bracket is pushed up, alone."""
+    narrow = w[:-1].astype(np.float32)
+    zp, zu = positive @ narrow + w[-1], unlabelled @ narrow + w[-1]
+    sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
+    if np.logaddexp(0, zu).mean() >= prior * np.logaddexp(0, zp).mean():
+        gp, gu = np.full(len(zp), -prior / len(zp)), su / len(zu)
+    else:
+        gp, gu = prior * sp / len(zp), -su / len(zu)
+    return np.append(gp.astype(np.float32) @ positive + gu.astype(np.float32) @ unlabelled, gp.sum() + gu.sum())
+
+
 def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1000, rate: float = 0.2, decay: float = 1e-6) -> Model:
     """Full-batch Adam on the non-negative risk; without positives every score is the prior."""
     prior = min(max(prior, 1e-3), 1 - 1e-3)
@@ -112,16 +127,7 @@ def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     w[-1] = np.log(prior / (1 - prior))
     first, second = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        narrow = w[:-1].astype(np.float32)
-        zp, zu = positive @ narrow + w[-1], unlabelled @ narrow + w[-1]
-        sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-        bracket = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        # Derivatives of the losses by the scores; a negative bracket is pushed up, alone.
-        if bracket >= 0:
-            gp, gu = np.full(len(zp), -prior / len(zp)), su / len(zu)
-        else:
-            gp, gu = prior * sp / len(zp), -su / len(zu)
-        grad = np.append(gp.astype(np.float32) @ positive + gu.astype(np.float32) @ unlabelled, gp.sum() + gu.sum())
+        grad = gradient(w, positive, unlabelled, prior)
         grad[:-1] += decay * w[:-1]
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2

@@ -135,11 +135,22 @@ QUERIES = {
     "op13_conversations": op13_conversations,
 }
 
-_SPELT = "regexp_replace(replace(lower(coalesce(text, '')), '©', ' copyright '), '[^\\p{L}\\p{N}\\n]+', ' ', 'g')"
-for _given, _one in licences.SPELLINGS:
+# The rules of op3 in SQL, written out apart from the operator; only the known texts are the same.
+_KEPT = r"""list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: NOT (
+    (regexp_matches(lower(x), '^[^\p{L}\p{N}(©&]*copyright[ \t]*[:,]?[ \t]*(\(c\)|©|&copy;)')
+     OR regexp_matches(lower(x), '^[^\p{L}\p{N}(©&]*copyright[ \t]*[:,]?[ \t]*(by[ \t]+)?[\[<{]?(1[89]\d\d|20\d\d|yyyy|year)')
+     OR regexp_matches(lower(x), '^[^\p{L}\p{N}(©&]*(\(c\)|©|&copy;)[ \t]*(copyright|[\[<{]?(1[89]\d\d|20\d\d|yyyy|year))'))
+    AND len(list_intersect(regexp_split_to_array(x, '[^\p{L}\p{N}]+'), ['is', 'are', 'was', 'were', 'be', 'been', 'has', 'have', 'had', 'must', 'shall', 'should', 'may',
+        'might', 'can', 'could', 'will', 'would', 'do', 'does', 'did', 'applies', 'apply', 'protects', 'protect', 'means', 'you', 'we', 'this'])) = 0
+    OR trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g')) = 'all rights reserved'))"""
+_SPELT = rf"regexp_replace(replace(lower(array_to_string({_KEPT}, chr(10))), '©', ' copyright '), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
+for _given, _one in (
+    ("licence", "license"), ("sub license", "sublicense"), ("acknowledgement", "acknowledgment"), ("authorisation", "authorization"), ("merchantibility", "merchantability"),
+    ("non infringement", "noninfringement"), ("non commercial", "noncommercial"), ("per cent", "percent"), ("copyright owner", "copyright holder"), ("judgement", "judgment"),
+    ("favour", "favor"), ("programme", "program"),
+):
     _SPELT = f"replace({_SPELT}, '{_given}', '{_one}')"
-_LINES = f"""list_filter(list_transform(string_split({_SPELT}, chr(10)), lambda x: trim(x)),
-    lambda x: x <> '' AND NOT regexp_matches(x, '{licences.COPYRIGHT_LINE}'))"""
+_LINES = f"list_filter(list_transform(string_split({_SPELT}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
 _KNOWN = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licences.KNOWN)
 
 ORACLES: dict[str, str] = {

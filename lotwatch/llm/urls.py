@@ -17,10 +17,8 @@ from pyspark.sql import functions as F
 
 from lotwatch.session import stored
 
-# Longest unknown span of a host name that counts as one; counted words may have any length.
-LONGEST_WORD = 20
-# Tokens that the smoothing reckons with at least; more, where more are counted.
-TOKEN_CELLS = 1 << 18
+# Spans up to this length are looked up one by one, longer words by their beginnings of this length.
+SPAN = 20
 SMOOTHING = 1.0
 EVEN = 1e-9
 
@@ -74,33 +72,37 @@ def word_counts(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.select(word.alias("word")).filter(F.length("word") > 0).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def split_name(name: str, known: dict[tuple[int, int], float], total: float, longest: int = LONGEST_WORD) -> list[str]:
+def split_name(name: str, known: dict[tuple[int, int], float], total: float) -> list[str]:
     """Viterbi: the split of most likely words.
 
     ``known`` has the counts of spans that are words.  An unknown span of n
-    letters counts 10 / 10^n.  Of equal splits the one whose last word is
-    longest wins.
+    letters, whatever n, counts 10 / 10^n: the best one that ends somewhere
+    begins where the score so far and the place add up to most.  Of equal
+    splits the one whose last word is longest wins.
     """
-    far: dict[int, list[int]] = {}
+    words: dict[int, list[int]] = {}
     for start, end in known:
-        if end - start > longest:
-            far.setdefault(end, []).append(start)
-    best, back = [0.0], [0]
+        words.setdefault(end, []).append(start)
+    each = math.log10(total)
+    best, back, ahead = [0.0], [0], (0.0, 0)
     for end in range(1, len(name) + 1):
-        score, at = max(
-            (best[start] + (math.log10(known[start, end]) if (start, end) in known else 1.0 - (end - start)) - math.log10(total), -start)
-            for start in (*range(max(0, end - longest), end), *far.get(end, ()))
-        )
+        options = [(best[start] + math.log10(known[start, end]) - each, -start) for start in words.get(end, ())]
+        if (-ahead[1], end) not in known:
+            options.append((ahead[0] + 1.0 - end - each, ahead[1]))
+        elif other := [(best[s] + s + 1.0 - end - each, -s) for s in range(end) if (s, end) not in known]:
+            options.append(max(other))
+        score, at = max(options)
         best.append(score)
         back.append(-at)
-    words, end = [], len(name)
+        ahead = max(ahead, (score + end, -end))
+    tokens, end = [], len(name)
     while end:
-        words.append(name[back[end] : end])
+        tokens.append(name[back[end] : end])
         end = back[end]
-    return words[::-1]
+    return tokens[::-1]
 
 
-def split_hosts(hosts: DataFrame, words: DataFrame, longest: int = LONGEST_WORD) -> DataFrame:
+def split_hosts(hosts: DataFrame, words: DataFrame, longest: int = SPAN) -> DataFrame:
     """``host``, ``tokens``: every different host's labels split into words, in order.
 
     Spans of the labels meet the words by a join, so neither list is held by a task.
@@ -126,7 +128,7 @@ def split_hosts(hosts: DataFrame, words: DataFrame, longest: int = LONGEST_WORD)
         for batch in batches:
             names = batch.column(0).to_pylist()
             tokens = [
-                split_name(name, {(x["start"], x["end"]): x["n"] for x in spans or ()}, total, longest)
+                split_name(name, {(x["start"], x["end"]): x["n"] for x in spans or ()}, total)
                 for name, spans in zip(names, batch.column(1).to_pylist(), strict=True)
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.list_(pa.string()))], names=["label", "tokens"])
@@ -146,8 +148,8 @@ def bayes_odds(rows: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
     """The rows (``row``, ``verdict``, ``tokens``) without a verdict, with ``odds``: log-odds of ``allow`` against ``block``.
 
     Learnt from the rows that have a verdict.  Tokens are counted exactly in a
-    distributed table; the vocabulary is as large as that, or ``TOKEN_CELLS``.  A token that
-    is not has the classes' smoothed share alone.
+    distributed table, and the vocabulary is as large as that.  A token that is
+    not in it has the classes' smoothed share alone.
     """
     taught = rows.filter(F.col("verdict").isNotNull())
     of = lambda v: F.count(F.when(F.col("verdict") == v, True))
@@ -155,7 +157,7 @@ def bayes_odds(rows: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
     sizes = counts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("allow"), F.lit(0)).alias("allow"), F.coalesce(F.sum("block"), F.lit(0)).alias("block")).first()
     seen = taught.agg(of("allow").alias("allow"), of("block").alias("block")).first()
     prior = math.log((seen["allow"] + smoothing) / (seen["block"] + smoothing))
-    vocabulary = smoothing * max(TOKEN_CELLS, sizes["n"])
+    vocabulary = smoothing * max(1, sizes["n"])
     unseen = math.log((sizes["block"] + vocabulary) / (sizes["allow"] + vocabulary))
     weights = counts.select("token", F.log((F.col("allow") + smoothing) / (F.col("block") + smoothing)).alias("weight"))
     open_rows = rows.filter(F.col("verdict").isNull())

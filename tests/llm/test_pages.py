@@ -100,6 +100,28 @@ def _best_split(name, counts, total):
     return score, words
 
 
+def _viterbi(name, counts, total):
+    """Every start of a last word is tried, known or not, at any length."""
+    best = [(0.0, 0)]
+    for end in range(1, len(name) + 1):
+        word = lambda s: math.log10(counts[name[s:end]]) if name[s:end] in counts else 1.0 - (end - s)  # noqa: E731, B023
+        best.append(max((round(best[s][0] + word(s) - math.log10(total), 9), -s) for s in range(end)))
+    tokens, end = [], len(name)
+    while end:
+        tokens.append(name[-best[end][1] : end])
+        end = -best[end][1]
+    return tokens[::-1]
+
+
+def test_unknown_names_of_any_length():
+    for n in (5, 20, 21, 25, 60):
+        assert urls.split_name("q" * n, {}, 1000) == ["q" * n] == _viterbi("q" * n, {}, 1000)
+    counts = {"cheap": 50, "pills": 40}
+    name = "x" * 33 + "cheap" + "y" * 25 + "pills"
+    known = {(i, j): counts[name[i:j]] for i in range(len(name)) for j in range(i + 1, len(name) + 1) if name[i:j] in counts}
+    assert urls.split_name(name, known, 200) == _viterbi(name, counts, 200) == ["x" * 33, "cheap", "y" * 25, "pills"]
+
+
 def test_names_are_split_into_their_likeliest_words(spark):
     counts = {"cheap": 50, "pills": 40, "pill": 30, "s": 5, "che": 2, "ap": 2, "the": 900, "rapist": 1, "therapist": 3}
     total = sum(counts.values())
@@ -110,10 +132,10 @@ def test_names_are_split_into_their_likeliest_words(spark):
     hosts = spark.createDataFrame([("www.cheappills.com",), ("",), ("-.-",), ("a" * 300 + ".the",)], "host string")
     found = {r["host"]: r["tokens"] for r in urls.split_hosts(hosts, words).collect()}
     assert found["www.cheappills.com"] == ["www", "cheap", "pills", "com"] and set(found) == {"www.cheappills.com", "a" * 300 + ".the"}
-    assert "".join(found["a" * 300 + ".the"]) == "a" * 300 + "the"
+    assert found["a" * 300 + ".the"] == ["a" * 300, "the"]
 
 
-def _brute(pages, cells=urls.TOKEN_CELLS):
+def _brute(pages):
     """Verdicts from counts in plain Python over the operator's tokens."""
     addresses = [_address(u) for _, u, _ in pages]
     return addresses, [_rule(*a) for a in addresses]
@@ -144,22 +166,20 @@ def _check(spark, pages, rows):
     for host, path in addresses:
         own = []
         for label in re.split(r"[^\w]|_", host):
-            spans = {(i, j): words[label[i:j]] for i in range(len(label)) for j in range(i + 1, min(len(label), i + 20) + 1) if label[i:j] in words}
-            own += ["h:" + w for w in urls.split_name(label, spans, total)]
+            own += ["h:" + w for w in _viterbi(label, words, total)]
         lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in path)
         tokens.append(own + ["p:" + w for w in re.split(r"[^\w]|_", lower) if w])
-    names = spark.createDataFrame([(t,) for t in {t for own in tokens for t in own} or {"-"}], "t string")
-    cell = {r["t"]: r["c"] for r in names.select("t", F.pmod(F.xxhash64("t"), F.lit(urls.TOKEN_CELLS)).alias("c")).collect()}
     counts, seen = {"allow": Counter(), "block": Counter()}, Counter()
     for rule, own in zip(rules, tokens, strict=True):
         if rule:
             seen[rule.verdict] += 1
-            counts[rule.verdict].update(cell[t] for t in own)
-    size = {v: sum(c.values()) + urls.TOKEN_CELLS for v, c in counts.items()}
+            counts[rule.verdict].update(own)
+    vocabulary = max(1, len(counts["allow"].keys() | counts["block"].keys()))
+    size = {v: sum(c.values()) + vocabulary for v, c in counts.items()}
     want = []
     for (page, _, _), (host, path), rule, own in zip(pages, addresses, rules, tokens, strict=True):
         odds = math.log((seen["allow"] + 1) / (seen["block"] + 1))
-        odds += sum(math.log((counts["allow"][cell[t]] + 1) / size["allow"]) - math.log((counts["block"][cell[t]] + 1) / size["block"]) for t in own)
-        want.append((str(page), host, path, rule.text if rule else "", rule.verdict if rule else ("allow" if odds >= 0 else "block")))
+        odds += sum(math.log((counts["allow"][t] + 1) / size["allow"]) - math.log((counts["block"][t] + 1) / size["block"]) for t in own)
+        want.append((str(page), host, path, rule.text if rule else "", rule.verdict if rule else ("allow" if odds >= -1e-9 else "block")))
     got = [(str(r["page_id"]), r["host"], r["path"], r["rule"] or "", r["verdict"]) for r in rows]
     assert sorted(got) == sorted(want)
