@@ -9,7 +9,7 @@ group.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,16 +39,16 @@ def _cell(value: Column) -> Column:
     return F.when(value > 0, steps).when(value < 0, -steps).otherwise(F.lit(0).cast("bigint"))
 
 
-def _narrow(inside: DataFrame, names: Sequence[str], step: Column) -> tuple[DataFrame, DataFrame]:
-    """Cut the open cells of every group into steps and keep those with the middle ranks.
+def _narrow(inside: DataFrame, names: Sequence[str], step: Column, shares: Sequence[float]) -> tuple[DataFrame, DataFrame]:
+    """Cut the open cells of every group into steps and keep those with the wanted ranks.
 
     ``inside`` holds the values still in play with their ``cell``, the number of
     values of the group ``below`` that cell and the group's ``total``.  Returns
-    the picked cells (at most two per group) and the values inside them.
+    the picked cells (at most two per group and share) and the values inside them.
     """
     stepped = inside.withColumn("step", step)
     counted = stepped.groupBy(*names, "cell", "below", "total", "step").agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
+        F.sum("weight").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
     )
     earlier = Window.partitionBy(*names, "cell").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     whole_group = Window.partitionBy(*names)
@@ -58,36 +58,53 @@ def _narrow(inside: DataFrame, names: Sequence[str], step: Column) -> tuple[Data
             "total": F.coalesce(F.col("total"), F.sum("n").over(whole_group)),
         }
     )
-    middle = (F.col("below") <= _high_rank()) & (F.col("below") + F.col("n") > _low_rank())
-    numbered = placed.filter(middle).withColumn(
+    wanted = F.lit(False)
+    for share in shares:
+        for rank in (_low_rank(share), _high_rank(share)):
+            wanted = wanted | ((F.col("below") <= rank) & (F.col("below") + F.col("n") > rank))
+    numbered = placed.filter(wanted).withColumn(
         "next_cell", F.row_number().over(Window.partitionBy(*names).orderBy("below")).cast("bigint")
     )
     picked = cut_lineage(numbered)
     kept = (
         stepped.drop("below", "total", "low", "high")
         .join(picked, [*names, "cell", "step"])
-        .select(*names, "value", F.col("next_cell").alias("cell"), "below", "total", "low", "high")
+        .select(*names, "value", "weight", F.col("next_cell").alias("cell"), "below", "total", "low", "high")
     )
     return picked, kept
 
 
-def _low_rank() -> Column:
-    return F.floor((F.col("total") - 1) / 2)
+def _rank(share: float) -> Column:
+    """Place of a share among the sorted values of a group, from zero, between two of them as a rule."""
+    return (F.col("total") - 1) * F.lit(float(share))
 
 
-def _high_rank() -> Column:
-    return F.floor(F.col("total") / 2)
+def _low_rank(share: float) -> Column:
+    return F.floor(_rank(share))
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, values_per_cell: int = VALUES_PER_CELL) -> DataFrame:
-    """Exact interpolated median and count of the non-null values per group.
+def _high_rank(share: float) -> Column:
+    return F.ceil(_rank(share))
 
-    Columns: the keys, ``median`` and ``n_values``.  Groups with a null key are
-    left out.  With no keys the whole frame is one group.
+
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, values_per_cell: int = VALUES_PER_CELL, times: Column | None = None) -> DataFrame:
+    """Exact interpolated median and count of the non-null values per group: the keys, ``median`` and ``n_values``."""
+    return exact_quantiles(df, keys, value, {"median": 0.5}, values_per_cell, times)
+
+
+def exact_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, shares: Mapping[str, float], values_per_cell: int = VALUES_PER_CELL, times: Column | None = None
+) -> DataFrame:
+    """Exact interpolated quantiles and count of the non-null values per group.
+
+    Columns: the keys, those of ``shares``, and ``n_values``.  All ranks are
+    selected at once.  Groups with a null key are left out.  With no keys the
+    whole frame is one group.  ``times`` says how often a row's value counts,
+    once if not given.
     """
     names = [f"__k{i}" for i in range(len(keys) or 1)]
     sources = [F.col(k) for k in keys] or [F.lit(0)]
-    rows = df.select(*(s.alias(n) for s, n in zip(sources, names)), F.col(value).cast("double").alias("value"))
+    rows = df.select(*(s.alias(n) for s, n in zip(sources, names)), F.col(value).cast("double").alias("value"), (F.lit(1) if times is None else times).cast("bigint").alias("weight"))
     # The values are cut again at every look.
     rows = stored(rows.filter(F.col("value").isNotNull() & ~F.isnan("value")), "values")
     present = F.lit(True)
@@ -99,24 +116,28 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, values_per_cell
 
     # First look: logarithmic cells.  Later looks: equal steps between the ends
     # of a picked cell, while one still holds more than a task should sort.
-    picked, inside = _narrow(inside, names, _cell(F.col("value")))
+    parts = list(shares.values())
+    picked, inside = _narrow(inside, names, _cell(F.col("value")), parts)
     share = (F.col("value") - F.col("low")) / (F.col("high") - F.col("low"))
     step = F.when(F.col("high") > F.col("low"), F.floor(share * CELLS_PER_REFINEMENT)).otherwise(F.lit(0).cast("bigint"))
     while not picked.filter((F.col("high") > F.col("low")) & (F.col("n") > values_per_cell)).isEmpty():
-        picked, inside = _narrow(inside, names, step)
+        picked, inside = _narrow(inside, names, step, parts)
 
     # Last look: the distinct values of the picked cells with their counts.
-    counted = inside.groupBy(*names, "cell", "below", "total", "value").agg(F.count(F.lit(1)).alias("n"))
+    counted = inside.groupBy(*names, "cell", "below", "total", "value").agg(F.sum("weight").alias("n"))
     upto = F.col("below") + F.sum("n").over(Window.partitionBy(*names, "cell").orderBy("value"))
     placed = counted.withColumn("upto", upto)
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank), F.col("value")))
 
-    found = placed.groupBy(*names).agg(
-        (at(_low_rank()) * 0.5 + at(_high_rank()) * 0.5).alias("median"), F.max("total").alias("n_values")
-    )
-    return found.select(*(F.col(n).alias(k) for k, n in zip(keys, names)), "median", "n_values")
+    def quantile(share: float) -> Column:
+        # Without the difference of two infinities.
+        low, part = at(_low_rank(share)), F.max(_rank(share) - _low_rank(share))
+        return F.when(part > 0, low * (1 - part) + at(_high_rank(share)) * part).otherwise(low)
+
+    found = placed.groupBy(*names).agg(*(quantile(share).alias(name) for name, share in shares.items()), F.max("total").alias("n_values"))
+    return found.select(*(F.col(n).alias(k) for k, n in zip(keys, names)), *shares, "n_values")
 
 
 def category_statistics(df: DataFrame, category: str = "cpv_main", amount: str = "awarded_amount") -> DataFrame:
@@ -126,6 +147,19 @@ def category_statistics(df: DataFrame, category: str = "cpv_main", amount: str =
     )
 
 
+def amount_changes(before: DataFrame, after: DataFrame, category: str = "cpv_main", amount: str = "awarded_amount") -> DataFrame:
+    """``category``, ``amount``, ``n``: how much more often a category has an amount after than before; what did not change is left out."""
+    signed = lambda df, n: df.select(category, F.col(amount).cast("double").alias(amount), F.lit(n).cast("bigint").alias("n"))
+    both = signed(before, -1).unionByName(signed(after, 1)).filter(F.col(category).isNotNull() & F.col(amount).isNotNull() & ~F.isnan(amount))
+    return both.groupBy(category, amount).agg(F.sum("n").alias("n")).filter("n <> 0")
+
+
+def statistics_of_changes(changes: DataFrame, category: str = "cpv_main", amount: str = "awarded_amount") -> DataFrame:
+    """:func:`category_statistics` from all changes so far."""
+    now = changes.groupBy(category, amount).agg(F.sum("n").alias("n")).filter("n > 0")
+    return exact_median(now, [category], amount, times=F.col("n")).withColumnsRenamed({"median": "category_median", "n_values": "category_n"})
+
+
 def with_deviation(
     df: DataFrame,
     statistics: DataFrame,

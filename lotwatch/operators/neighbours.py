@@ -21,6 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from lotwatch import fixed_values as fixed
 from lotwatch.functions.text import escape_markdown, markdown_link
+from lotwatch.operators.groups import exact_quantiles
 from lotwatch.operators.versions import first_rows
 from lotwatch.session import cut_lineage, stored
 
@@ -91,9 +92,15 @@ def _search(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 held = np.frombuffer(row["matrix"], "float64").reshape(-1, row["dim"])
                 distance = np.round(1.0 - held @ asked.T, DISTANCE_DECIMALS)
                 ids = np.array(row["id"], dtype=object)
+                # Own ids are looked up once a pair of blocks.
+                owned: dict = {}
                 for column, own in enumerate(row["own_id"]):
                     if own is not None:
-                        distance[ids == own, column] = np.inf
+                        owned.setdefault(own, []).append(column)
+                if owned:
+                    for at, one in enumerate(row["id"]):
+                        if one in owned:
+                            distance[at, owned[one]] = np.inf
                 # Everything at least as near as the k-th, so that ties reach the ranking.
                 bound = np.partition(distance, k - 1, axis=0)[k - 1] if len(ids) > k else np.full(distance.shape[1], np.inf)
                 at, columns = np.nonzero((distance <= bound) & np.isfinite(distance))
@@ -310,12 +317,12 @@ PERCENTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 def distance_profile(hits: DataFrame, is_match: Column, percentiles: Sequence[float] = PERCENTILES) -> DataFrame:
     """Spread of distances for matching and non-matching probes; percentiles are exact and interpolated.
 
-    Distances have few decimals, so counting them by value keeps the percentiles bounded.
+    The percentiles are selected by counting cells, so no task holds the
+    distances of a class.  Hits of which it is unknown whether they match are left out.
     """
-    return hits.groupBy(is_match.alias("is_match")).agg(
-        F.count(F.lit(1)).alias("n_hits"),
-        F.min("distance").alias("min_distance"),
-        F.max("distance").alias("max_distance"),
-        F.avg("distance").alias("avg_distance"),
-        *(F.expr(f"percentile(distance, {p})").alias(f"p{round(100 * p):02d}") for p in percentiles),
+    judged = stored(hits.select(is_match.alias("is_match"), "distance").filter(F.col("is_match").isNotNull()), "judged")
+    spread = judged.groupBy("is_match").agg(
+        F.count(F.lit(1)).alias("n_hits"), F.min("distance").alias("min_distance"), F.max("distance").alias("max_distance"), F.avg("distance").alias("avg_distance")
     )
+    shares = {f"p{round(100 * p):02d}": p for p in percentiles}
+    return spread.join(exact_quantiles(judged, ["is_match"], "distance", shares).drop("n_values"), "is_match", "left")

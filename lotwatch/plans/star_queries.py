@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
-from functools import partial, wraps
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +25,7 @@ from lotwatch.streaming import sync
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 MASK = ["#000000007"]
-ENCODER = partial(embedding.HashingEncoder, 64)
+DIM = 64
 BASE_URL = "https://example.org/tender/"
 ALL_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -363,14 +363,20 @@ def store_incremental_deviation(spark, d):
     return rows.withColumn("price_deviation_pct", F.round("price_deviation_pct", 6))
 
 
+def landed(spark, documents):
+    folder = fresh_folder(spark, "landing")
+    raw.land_by_day(documents, folder)
+    return raw.read_landing(spark, folder)
+
+
 @query
 def run_update_ties(spark, d):
     """Runs of bounded size over documents of which very many share a date, until nothing is left."""
     documents = stored(event_documents(spark, d))
     store = sync.TenderStore(spark, fresh_folder(spark, "store"))
     store.apply(documents.filter("ts < '2024-01-06'").select("source_file", "body"), 0, embed=False)
-    limit, number = documents.count() // 4 + 1, 0
-    while number < 10 and sync.run_update(store, documents.select("source_file", "body"), number := number + 1, limit, False, False)["status"] != "up_to_date":
+    limit, number, landing = documents.count() // 4 + 1, 0, landed(spark, documents)
+    while number < 10 and sync.run_update(store, landing, number := number + 1, limit, False, False)["status"] != "up_to_date":
         pass
     return store.tenders_plain().select("tender_id", "date_modified", "cpv_main")
 
@@ -381,8 +387,9 @@ def run_update_undated(spark, d):
     documents = stored(event_documents(spark, d, undated=F.col("event_type") == "error"))
     store = sync.TenderStore(spark, fresh_folder(spark, "store"))
     store.apply(documents.filter("ts < '2024-01-06'").select("source_file", "body"), 0, embed=False)
+    landing = landed(spark, documents)
     for number in (1, 2):
-        result = sync.run_update(store, documents.select("source_file", "body"), number, None, False, False)
+        result = sync.run_update(store, landing, number, None, False, False)
     return store.tenders_plain().select("tender_id", "date_modified", F.lit(result["status"]).alias("last_status"))
 
 
@@ -392,8 +399,9 @@ def run_update_rejects(spark, d):
     documents = stored(event_documents(spark, d, damaged=F.col("event_type") == "click"))
     store = sync.TenderStore(spark, fresh_folder(spark, "store"))
     store.apply(documents.filter("ts < '2024-01-06'").select("source_file", "body"), 0, embed=False)
+    landing = landed(spark, documents)
     for number in (1, 2):
-        sync.run_update(store, documents.select("source_file", "body"), number, None, False, False)
+        sync.run_update(store, landing, number, None, False, False)
     kept = store.tenders_plain().select(F.lit("ok").alias("outcome"), F.col("tender_id").alias("document"))
     bad = store.rejected().select(F.col("reject_reason").alias("outcome"), F.regexp_replace("source_file", "[.]json$", "").alias("document"))
     return kept.unionByName(bad)
@@ -711,7 +719,7 @@ def distance_profile(spark, d):
 @query
 def embed_documents(spark, d):
     documents = table(spark, d, "documents").select("doc_id", "text").repartition("doc_id")
-    vectors = documents.select("doc_id", embedding.embed_passages(F.col("text"), ENCODER).alias("embedding"))
+    vectors = embedding.hashed(documents, dim=DIM)
     places = vectors.select("doc_id", F.posexplode("embedding").alias("place", "weight"))
     return places.filter("weight <> 0").withColumn("weight", F.col("weight").cast("double"))
 
@@ -722,7 +730,7 @@ def reembed_touched(spark, d):
     documents = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("tender_id"), "text", "lang")
     documents = documents.repartition("tender_id")
     labels = table(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").cast("string").alias("tender_id"))
-    options = {"lines": ["{lang}: {text}"], "make_encoder": ENCODER}
+    options = {"lines": ["{lang}: {text}"], "dim": DIM}
     store = tables.MergedTable(spark, fresh_folder(spark, "vectors"), "id", VECTORS)
     store.replace(embedding.vector_rows(documents, **options))
     revised = documents.withColumn("text", F.concat("text", F.lit(" revised")))
@@ -735,15 +743,13 @@ def reembed_touched(spark, d):
 @query
 def semantic_search(spark, d):
     documents = table(spark, d, "documents").repartition("doc_id")
-    corpus = documents.select(
+    corpus = embedding.hashed(documents, dim=DIM).select(
         F.col("doc_id").alias("id"),
-        embedding.embed_passages(F.col("text"), ENCODER).alias("embedding"),
+        "embedding",
         F.col("text").alias("document"),
         F.to_json(F.struct(F.concat(F.lit("D-"), F.col("doc_id").cast("string")).alias("tender_number"), F.col("lang").alias("title"))).alias("metadata"),
     )
-    queries = table(spark, d, "benchmark").select(
-        F.col("item_id").alias("query_id"), embedding.embed_queries(F.col("text"), ENCODER).alias("embedding")
-    )
+    queries = embedding.hashed(table(spark, d, "benchmark"), dim=DIM).select(F.col("item_id").alias("query_id"), "embedding")
     return neighbours.semantic_search(corpus, queries, BASE_URL, threshold=0.35).withColumn("closest", F.round("closest", 6))
 
 

@@ -29,6 +29,46 @@ def read_raw_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# What a landing keeps of each document, and the day it was modified on, by which it is partitioned.
+LANDED = "source_file string, body string, document_id string, modified timestamp, body_hash bigint, day date"
+_FRAME = "id STRING, dateModified STRING"
+
+
+def with_frame(raw: DataFrame) -> DataFrame:
+    """Add what tells changed documents without a full parse: ``document_id``, ``modified``, ``body_hash``, ``day``.
+
+    Read from the outermost fields only.  Where they cannot be read as usual,
+    id and date are null, and the document is left to the full parse.
+    """
+    framed = F.from_json("body", f"STRUCT<{_FRAME}, data: STRUCT<{_FRAME}>, _corrupt: STRING>", {"columnNameOfCorruptRecord": "_corrupt"})
+    rows = raw.withColumn("__frame", framed)
+    frame = F.col("__frame")
+    regular = frame["_corrupt"].isNull() & F.btrim("body", F.lit(WHITE_SPACE)).endswith("}")
+    wrapped = frame["id"].isNull() & frame["data"].isNotNull()
+    of = lambda field: F.when(regular, F.when(wrapped, frame["data"][field]).otherwise(frame[field]))
+    rows = rows.withColumns({"document_id": of("id"), "modified": F.try_to_timestamp(of("dateModified")), "body_hash": F.xxhash64("body")})
+    return rows.withColumn("day", F.to_date("modified")).drop("__frame")
+
+
+def land_by_day(raw: DataFrame, folder: str) -> None:
+    """Append raw documents to a landing partitioned by the day of modification; undated ones have a partition of their own."""
+    rows = with_frame(raw.select("source_file", "body"))
+    # Large days are split over several files, small ones are not.
+    rows.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(folder)
+
+
+def read_landing(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of a landing partitioned by day."""
+    return spark.read.schema(LANDED).parquet(folder)
+
+
+def changed_since(landed: DataFrame, since: str) -> DataFrame:
+    """Documents modified at or after ``since`` (ISO text), and undated ones; of a landing, only those days are read."""
+    moment = F.lit(since).cast("timestamp")
+    later = F.col("day").isNull() | (F.col("day") >= F.to_date(moment))
+    return landed.filter(later).filter(F.col("modified").isNull() | (F.col("modified") >= moment))
+
+
 def parse_documents(raw: DataFrame) -> DataFrame:
     """Parse, unwrap and judge each document.
 
@@ -132,17 +172,18 @@ def missing_documents(documents: DataFrame, touched: DataFrame, key: str = "tend
     return touched.select(key).distinct().join(documents.select(key), key, "left_anti")
 
 
-def relevant_raw(
-    documents: DataFrame,
-    prefixes=tuple(fixed.RELEVANT_CPV_PREFIXES),
-    keywords=tuple(fixed.RELEVANT_KEYWORDS),
-) -> DataFrame:
-    """Relevance test on the nested documents, before they are flattened."""
+def is_relevant(prefixes=tuple(fixed.RELEVANT_CPV_PREFIXES), keywords=tuple(fixed.RELEVANT_KEYWORDS)) -> Column:
+    """Relevance of a parsed document ``doc``, before it is flattened."""
     codes = F.transform("doc.items", lambda i: i["classification"]["id"])
     pattern = "^(?:" + "|".join(prefixes) + ")"
     by_code = F.coalesce(F.exists(codes, lambda c: F.coalesce(c.rlike(pattern), F.lit(False))), F.lit(False))
     words = F.concat_ws(" ", "doc.title", F.transform("doc.items", lambda i: i["description"]))
-    return documents.filter(by_code | contains_any(words, keywords))
+    return by_code | contains_any(words, keywords)
+
+
+def relevant_raw(documents: DataFrame, *lists) -> DataFrame:
+    """The relevant ones of nested documents."""
+    return documents.filter(is_relevant(*lists))
 
 
 def change_feed(

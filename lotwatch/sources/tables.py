@@ -14,7 +14,7 @@ import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,8 +114,9 @@ class MergedTable:
         folder = f"{self.root}/data/{version}-{uuid.uuid4().hex}"
         if ARRIVAL not in rows.columns:
             rows = rows.withColumn(ARRIVAL, F.lit(version).cast("bigint"))
-        rows.select(*self._stored.fieldNames()).write.parquet(folder)
-        n_rows = self.spark.read.schema(self._stored).parquet(folder).count()
+        written = Observation()
+        rows.select(*self._stored.fieldNames()).observe(written, F.count(F.lit(1)).alias("n")).write.parquet(folder)
+        n_rows = written.get["n"]
         entry = Row(version=version, kind=kind, folder=folder, source=source, batch_id=batch_id, n_rows=n_rows)
         self.spark.createDataFrame([entry], LOG).coalesce(1).write.mode("append").json(f"{self.root}/log")
         return entry

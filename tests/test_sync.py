@@ -231,3 +231,60 @@ def test_nothing_in_nothing_out(spark):
     store = TenderStore(spark, fresh_folder(spark, "store"))
     assert store.apply(frame(spark, [("x", "{")]), 0) == {"status": "up_to_date", "since": None, "n_tenders": 0}
     assert store.tenders().isEmpty() and store.cursor() is None
+
+
+def test_runs_read_only_the_days_at_or_after_the_cursor(spark, tmp_path):
+    """Files of earlier days may even be broken."""
+    day = lambda n: f"2024-01-{n:02}T00:00:00+00:00"
+    rows = [(f"t{n}", document(f"t{n}", day(n), "33", float(n))) for n in range(1, 7)] + [("odd", document("t8", "some day", "33", 8.0)), ("bad", "{")]
+    landing = str(tmp_path / "landing")
+    raw.land_by_day(frame(spark, rows), landing)
+    store = TenderStore(spark, fresh_folder(spark, "store"))
+    store.apply(frame(spark, rows[:3]), 0, embed=False)
+    for n in (1, 2):
+        for file in (tmp_path / "landing" / f"day=2024-01-{n:02}").glob("*.parquet"):
+            file.write_bytes(b"no parquet")
+    feed = raw.read_landing(spark, landing)
+    plan = raw.changed_since(feed, store.cursor())._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "day" in plan[plan.index("PartitionFilters: [") :].split("]")[0]
+    assert run_update(store, feed, 1, limit=2, relevant_only=False, embed=False)["n_tenders"] == 3
+    assert store.cursor() == "2024-01-05T00:00:00.000000+00:00"
+    assert run_update(store, feed, 2, limit=2, relevant_only=False, embed=False)["n_tenders"] == 1
+    assert run_update(store, feed, 3, limit=2, relevant_only=False, embed=False)["status"] == "up_to_date"
+    assert {r.tender_id for r in store.tenders_plain().collect()} == {*(f"t{n}" for n in range(1, 7)), "t8"} and store.rejected().count() == 1
+    # A late document of the cursor's day is found among those of its day.
+    raw.land_by_day(frame(spark, [("t9", document("t9", day(6), "33", 1.0))]), landing)
+    assert run_update(store, raw.read_landing(spark, landing), 4, relevant_only=False, embed=False)["n_tenders"] == 1
+
+
+def test_ids_and_dates_before_the_full_parse(spark):
+    bodies = ['{"id":"a","dateModified":"2024-01-05T23:30:00-01:00"}', '{"data":{"id":"b","dateModified":"2024-01-05"}}', '{"id":"c"}', "{", "[1]", '{"dateModified":"x"}', ""]
+    rows = raw.with_frame(frame(spark, [(str(i), b) for i, b in enumerate(bodies)])).orderBy("source_file").collect()
+    assert [r.document_id for r in rows] == ["a", "b", "c", None, None, None, None]
+    assert [str(r.day) for r in rows] == ["2024-01-06", "2024-01-05", *["None"] * 5]
+
+
+def test_a_refresh_reads_no_tenders(spark, monkeypatch):
+    store = TenderStore(spark, fresh_folder(spark, "store"))
+    store.apply(frame(spark, FIRST), 0, embed=False, refresh=False)
+    store.apply(frame(spark, SECOND), 1, embed=False, refresh=False)
+    monkeypatch.setattr(store.tender_table, "_resolved", lambda *a: (_ for _ in ()).throw(RuntimeError("tenders were read")))
+    assert store.refresh() == 2
+    got = {r.cpv_main: (r.category_median, r.category_n) for r in store.statistics.read().collect()}
+    assert got == {"33": (200.0, 2), "18": (60.0, 2)}
+
+
+def test_changes_of_a_batch_that_never_ended_are_corrected(spark, monkeypatch):
+    """A batch of one source dies after its changes are noted; one of another source takes the same tender."""
+    store = TenderStore(spark, fresh_folder(spark, "store"))
+    store.apply(frame(spark, FIRST), 0, embed=False)
+    merge = store.tender_table.merge
+    store.tender_table.merge = lambda *a: (_ for _ in ()).throw(RuntimeError("lost"))
+    with pytest.raises(RuntimeError):
+        store.apply(frame(spark, SECOND[:1]), 0, embed=False, source="other")
+    store.tender_table.merge = merge
+    store.apply(frame(spark, [("t2.json", document("t2", "2024-01-15T00:00:00+00:00", "33", 150.0))]), 1, embed=False)
+    assert state(store)["t1"][2] == pytest.approx(-20) and state(store)["t3"][2] is None
+    store.apply(frame(spark, SECOND[:1]), 0, embed=False, source="other")
+    direct = {r.tender_id: r.price_deviation_pct for r in price_deviation(store.tenders_plain()).collect()}
+    assert {k: v[2] for k, v in state(store).items()} == direct and direct["t3"] == pytest.approx(-100 / 6)
