@@ -193,7 +193,8 @@ def event_documents(spark: SparkSession, folder: str, undated=None, damaged=None
 
 def answers(spark: SparkSession, folder: str) -> DataFrame:
     """Written answers made from orders; the evidence of some is known, of others not."""
-    o = table(spark, folder, "orders").repartition("o_orderkey")
+    # As many parts as there are cores: the texts are short, and what is done with them is not.
+    o = table(spark, folder, "orders").repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
     own = record_number("o_orderdate", "o_orderkey")
     text = F.concat(
         F.lit("Order_"), F.col("o_orderkey").cast("string"), F.lit(" *won* "),

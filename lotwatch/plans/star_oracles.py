@@ -334,7 +334,12 @@ ORACLES: dict[str, str] = {
         FROM (SELECT conv_id, turn, lower(trim(text)) AS x FROM conversations WHERE role = 'user')""",
     "route_summary": f"""SELECT {_ROUTE} AS route, count(*) AS n_questions
         FROM (SELECT lower(trim(text)) AS x FROM conversations WHERE role = 'user') GROUP BY 1""",
-    "route_questions_default": "SELECT conv_id, turn, role, 'sql' AS route FROM conversations",
+    "route_questions_default": """SELECT conv_id, turn, role,
+        ['followup', 'investigation:splitting', 'investigation:monopoly', 'investigation:overpricing', 'sql', 'vector', 'vector', 'vector'][conv_id % 8 + 1] AS route
+        FROM conversations""",
+    "empty_in_empty_out": "SELECT * FROM (VALUES ('tenders', 0::BIGINT, 29), ('items', 0::BIGINT, 14), ('deviation', 0::BIGINT, 30)) t(table_name, n_rows, n_columns)",
+    "role_prefixes": "WITH " + PLACES.format(source="SELECT 'passage' || doc_id AS k, 'passage: ' || text AS txt FROM documents UNION ALL SELECT 'query' || item_id, 'query: ' || text FROM benchmark")
+    + """ SELECT regexp_extract(k, '[a-z]+') AS role, CAST(regexp_extract(k, '[0-9]+') AS BIGINT) AS id, CAST(place AS INTEGER) AS place, CAST(weight AS DOUBLE) AS weight FROM unit""",
     "chunk_text": """SELECT c_custkey, 'Buyer: ' || c_name || ' (' || n_name || ')' || chr(10) || 'Segment: '
         || coalesce(nullif(c_mktsegment, 'BUILDING'), 'не вказано') || chr(10) || 'Balance: ' || format('{:.2f}', c_acctbal) || ' ' AS chunk
         FROM customer JOIN nation ON c_nationkey = n_nationkey""",

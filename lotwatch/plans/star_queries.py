@@ -9,6 +9,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lotwatch import fixed_values as fixed
 from lotwatch.functions import text as tx
 from lotwatch.functions import values as vl
 from lotwatch.operators import answers as an
@@ -352,6 +353,15 @@ def raw_landing_roundtrip(spark, d):
     return raw.run_counters(raw.parse_documents(raw.read_raw_lines(spark, landing)))
 
 
+@query
+def empty_in_empty_out(spark, d):
+    """No document is of this kind: tenders, items and statistics have their columns and no row."""
+    documents = event_documents(spark, d).join(table(spark, d, "events").filter("event_type = 'no such type'").select(F.concat(F.col("event_id").cast("string"), F.lit(".json")).alias("source_file")), "source_file")
+    good = raw.good_documents(raw.parse_documents(documents.select("source_file", "body")))
+    made = {"tenders": flatten.flatten_tenders(good), "items": flatten.flatten_items(good), "deviation": groups.price_deviation(flatten.flatten_tenders(good))}
+    return tables.row_counts(made).withColumn("n_columns", F.element_at(F.create_map(*(x for n, t in made.items() for x in (F.lit(n), F.lit(len(t.columns))))), F.col("table_name")))
+
+
 @query
 def store_incremental_deviation(spark, d):
     """The tender store built in two runs; categories change between them."""
@@ -570,8 +580,21 @@ def route_summary(spark, d):
 
 @query
 def route_questions_default(spark, d):
+    """The default lists: each message asks, by its key, with an entry of one of them, or of two that compete, or of none."""
     c = table(spark, d, "conversations")
-    return c.select("conv_id", "turn", "role", routing.route(F.concat("text", F.lit(" How many? Total.")) ).alias("route"))
+    entry = lambda words: F.element_at(F.array(*map(F.lit, words)), (F.col("turn") % len(words) + 1).cast("int"))
+    after = lambda *words: F.concat_ws(" ", "text", *words)
+    quantity, triggers = entry(fixed.QUANTITATIVE_WORDS), fixed.INVESTIGATION_TRIGGERS
+    asked = [
+        after(entry(fixed.FOLLOWUP_MARKERS), quantity),
+        *(after(entry(words), quantity) for words in triggers.values()),
+        after(quantity),
+        after(entry(fixed.QUALITATIVE_WORDS), quantity),
+        F.concat(F.initcap(entry(fixed.QUALITATIVE_LEADING_WORDS)), after(quantity)),
+        F.col("text"),
+    ]
+    question = F.element_at(F.array(*asked), (F.pmod(F.col("conv_id"), F.lit(len(asked))) + 1).cast("int"))
+    return c.select("conv_id", "turn", "role", routing.route(question).alias("route"))
 
 
 @query
@@ -724,6 +747,17 @@ def embed_documents(spark, d):
     return places.filter("weight <> 0").withColumn("weight", F.col("weight").cast("double"))
 
 
+@query
+def role_prefixes(spark, d):
+    """Passages and queries are embedded with the prefix of their role."""
+    sides = [("passage", "documents", "doc_id", fixed.PASSAGE_PREFIX), ("query", "benchmark", "item_id", fixed.QUERY_PREFIX)]
+    vectors = versions.union_by_name(
+        *(embedding.hashed(table(spark, d, name).select(F.lit(role).alias("role"), F.col(key).alias("id"), "text"), dim=DIM, prefix=prefix) for role, name, key, prefix in sides)
+    )
+    places = vectors.select("role", "id", F.posexplode("embedding").alias("place", "weight"))
+    return places.filter("weight <> 0").withColumn("weight", F.col("weight").cast("double"))
+
+
 @query
 def reembed_touched(spark, d):
     """Embed all documents, revise the toxic ones, embed only those again."""

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lotwatch.operators import filters, versions
+from lotwatch.operators import embedding, filters, versions
 from lotwatch.plans import reports
 from lotwatch.plans.star import order_tenders, table, tender_view
 
@@ -43,3 +43,18 @@ def test_view_joins_only_what_the_columns_need(spark):
 
 def test_ranking_sorts_only_its_top(spark):
     assert "TakeOrderedAndProject" in plan(reports.supplier_ranking(order_tenders(spark, FOLDER)))
+
+
+def test_the_default_encoder_needs_no_python(spark):
+    rows = embedding.hashed(table(spark, FOLDER, "documents"))
+    text = plan(rows)
+    assert "Python" not in text and "Pandas" not in text and "Arrow" not in text
+    assert rows.columns == [*table(spark, FOLDER, "documents").columns, "embedding"]
+
+
+def test_vectors_in_the_jvm_are_those_of_the_encoder(spark):
+    texts = ["", None, "word", "Word WORD other", "a_b c-d 1e5", "дрон Дрон ÉTÉ", "x " * 5000]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for prefix in ("", "query: "):
+        rows = embedding.hashed(df, prefix=prefix).withColumn("other", embedding.embed(F.col("text"), prefix=prefix)).collect()
+        assert len(rows) == len(texts) and all(r.embedding == r.other for r in rows)
