@@ -40,7 +40,7 @@ WORDS = [1, 5, 15, 40, 100, 200, 400, 800, 2000, 8000]
 MEASURES = [("line repeats", SHARE), ("three-word repeats", SHARE), ("different words", SHARE), ("capitals", SHARE), ("digits", SHARE), ("marks", SHARE), ("word length", WORD_LENGTH), ("words", WORDS)]
 SIZE = SHAPES + sum(len(bounds) + 1 for _, bounds in MEASURES)
 # Bounds of memory only: words whose shapes a worker remembers, and the longest of them.
-REMEMBERED_WORDS, REMEMBERED_LENGTH = 200_000, 200
+REMEMBERED_WORDS, REMEMBERED_LENGTH = 60_000, 100
 
 
 def _shape(word: str) -> int:

@@ -228,7 +228,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The documents with one left of each component: that whose key is the component's.
 
-    Of rows that repeat that key and text, one is left.  Documents without a
+    Of rows that repeat that key and text, that with the smallest hash of its
+    values is left.  Documents without a
     key cannot be told apart by it and all stay.
     """
     name = F.col(f"`{key}`")
@@ -236,6 +237,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) ->
     staying = found.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("__stay")).distinct()
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), name.alias("__key"), F.xxhash64(F.col(f"`{text}`")).alias("__text"))
     kept = held.join(staying, F.col("__key") == F.col("__stay"), "left_semi")
-    first = Window.partitionBy("__key", "__text").orderBy(F.lit(0))
+    hashable = [F.col(f"__row.`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    first = Window.partitionBy("__key", "__text").orderBy(F.xxhash64(*hashable))
     one = kept.withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*(F.col(f"__row.`{c}`").alias(c) for c in docs.columns))
     return one.unionByName(docs.filter(name.isNull()))
