@@ -3,8 +3,8 @@
 Queries and corpus stay in the executors: both are packed into blocks, every
 query block meets every corpus block, and NumPy multiplies a pair.  A task keeps
 the best ``k`` of each query over all its pairs, so what is shuffled grows with
-tasks and queries, never with the number of pairs.  The approximate variant
-deals both sides to the nearest of a few centroids first.
+tasks and queries, never with the number of pairs.  ``inverted.py`` has the
+approximate search.
 """
 
 from __future__ import annotations
@@ -29,8 +29,6 @@ from lotwatch.session import cut_lineage, stored
 QUERY_BLOCK, CORPUS_BLOCK = 512, 4096
 # Copies of a vector get equal distances wherever they sit in a block.
 DISTANCE_DECIMALS = 9
-# Rows of the corpus that the centroids of the approximate search are chosen from.
-SAMPLE_ROWS = 20_000
 
 
 def usable(vector: Column) -> Column:
@@ -39,13 +37,13 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & finite, F.lit(False))
 
 
-def _unit_rows(vectors) -> np.ndarray:
+def unit_rows(vectors) -> np.ndarray:
     matrix = np.asarray(vectors, dtype="float64")
     lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
     return matrix / np.where(lengths > 0, lengths, 1.0)
 
 
-def _packed(rows: DataFrame, size: int, names: Sequence[str]) -> DataFrame:
+def packed(rows: DataFrame, size: int, names: Sequence[str]) -> DataFrame:
     """Blocks of rows (``vector`` and ``names``) that share ``part`` and dimension; ids stay arrays."""
     kinds = {f.name: f.dataType for f in rows.schema.fields}
     schema = T.StructType(
@@ -58,7 +56,7 @@ def _packed(rows: DataFrame, size: int, names: Sequence[str]) -> DataFrame:
         def block(key: tuple[int, int], held: list[tuple]) -> pa.RecordBatch:
             columns = [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32())]
             columns += [pa.array([[h[i] for h in held]], pa.list_(arrow[n])) for i, n in enumerate(names)]
-            matrix = _unit_rows([h[-1] for h in held])
+            matrix = unit_rows([h[-1] for h in held])
             return pa.RecordBatch.from_arrays([*columns, pa.array([matrix.tobytes()], pa.binary())], names=schema.names)
 
         arrow: dict[str, pa.DataType] = {}
@@ -139,16 +137,16 @@ def nearest_neighbours(
     query itself).  Vectors that are null, empty or not finite take no part on
     either side; see :func:`without_vector` for the queries left out.
     """
-    rows = _corpus_rows(corpus, corpus_id, vector).withColumn("part", F.lit(0))
-    asked = _query_rows(corpus, queries, corpus_id, vector, query_id, own_id).withColumn("part", F.lit(0))
+    rows = corpus_rows(corpus, corpus_id, vector).withColumn("part", F.lit(0))
+    asked = query_rows(corpus, queries, corpus_id, vector, query_id, own_id).withColumn("part", F.lit(0))
     return _ranked(rows, asked, k, block)
 
 
-def _corpus_rows(corpus: DataFrame, corpus_id: str, vector: str) -> DataFrame:
+def corpus_rows(corpus: DataFrame, corpus_id: str, vector: str) -> DataFrame:
     return corpus.filter(usable(F.col(vector))).select(F.col(corpus_id).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
 
 
-def _query_rows(corpus: DataFrame, queries: DataFrame, corpus_id: str, vector: str, query_id: str, own_id: Column | None) -> DataFrame:
+def query_rows(corpus: DataFrame, queries: DataFrame, corpus_id: str, vector: str, query_id: str, own_id: Column | None) -> DataFrame:
     own = F.lit(None).cast(corpus.schema[corpus_id].dataType) if own_id is None else own_id
     wanted = queries.select(F.col(query_id).alias("query_id"), own.cast(corpus.schema[corpus_id].dataType).alias("own_id"), F.col(vector).cast("array<double>").alias("vector"))
     return wanted.filter(usable(F.col("vector")))
@@ -158,8 +156,8 @@ def _ranked(rows: DataFrame, asked: DataFrame, k: int, block: int = QUERY_BLOCK)
     spark = rows.sparkSession
     shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Corpus blocks are dealt over the shares of a part; every query block of the part goes to all of them.
-    blocks = stored(_packed(rows, CORPUS_BLOCK, ["id"]), "corpus").withColumn("share", F.pmod(F.xxhash64("matrix"), F.lit(shares)).cast("int"))
-    questions = stored(_packed(asked, block, ["query_id", "own_id"]), "queries").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    blocks = stored(packed(rows, CORPUS_BLOCK, ["id"]), "corpus").withColumn("share", F.pmod(F.xxhash64("matrix"), F.lit(shares)).cast("int"))
+    questions = stored(packed(asked, block, ["query_id", "own_id"]), "queries").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
     near = _search(blocks, questions, k)
     return first_rows(near, ["query_id"], [F.col("distance"), F.col("id")], k)
 
@@ -169,58 +167,6 @@ def without_vector(queries: DataFrame, vector: str = "embedding", query_id: str
     return queries.filter(~usable(F.col(vector))).select(F.col(query_id).alias("query_id"))
 
 
-def approximate_neighbours(
-    corpus: DataFrame,
-    queries: DataFrame,
-    k: int = fixed.TOP_K,
-    corpus_id: str = "id",
-    vector: str = "embedding",
-    query_id: str = "query_id",
-    own_id: Column | None = None,
-    centroids: int = 16,
-    probes: int = 8,
-    sample_rows: int = SAMPLE_ROWS,
-) -> DataFrame:
-    """Neighbours from the parts of the corpus whose centroids are nearest to the query.
-
-    Every corpus row belongs to the nearest of ``centroids`` unit vectors, found
-    by k-means on at most ``sample_rows`` rows; each query looks at ``probes``
-    parts and compares exactly there.  With ``probes >= centroids`` it is exact.
-    """
-    rows = _corpus_rows(corpus, corpus_id, vector)
-    asked = _query_rows(corpus, queries, corpus_id, vector, query_id, own_id)
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("vector").collect()
-    centres = _centroids([r["vector"] for r in sample], centroids)
-
-    def parts(n: int):
-        @F.pandas_udf("array<int>")
-        def nearest(vectors: pd.Series) -> pd.Series:
-            found = []
-            for v in vectors:
-                distance = 1.0 - centres @ np.asarray(v, "float64") if len(centres) and centres.shape[1] == len(v) else np.zeros(1)
-                found.append(np.argsort(distance, kind="stable")[:n].astype("int32"))
-            return pd.Series(found)
-
-        return nearest("vector")
-
-    return _ranked(rows.withColumn("part", parts(1)[0]), asked.select("*", F.explode(parts(probes)).alias("part")), k)
-
-
-def _centroids(vectors: Sequence[Sequence[float]], n: int, rounds: int = 8) -> np.ndarray:
-    """Unit centroids of the vectors of the sample's most frequent dimension."""
-    if not vectors:
-        return np.zeros((0, 0))
-    sizes = pd.Series([len(v) for v in vectors])
-    matrix = _unit_rows([v for v in vectors if len(v) == sizes.mode()[0]])
-    centres = matrix[:: max(1, len(matrix) // n)][:n].copy()
-    for _ in range(rounds):
-        member = np.argmax(matrix @ centres.T, axis=1)
-        for c in range(len(centres)):
-            if (member == c).any():
-                centres[c] = _unit_rows([matrix[member == c].mean(axis=0)])[0]
-    return centres
-
-
 def hit_rows(hits: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
     """The corpus rows behind the hits."""
     return rows.join(hits, key)

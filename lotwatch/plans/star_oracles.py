@@ -282,7 +282,11 @@ ORACLES: dict[str, str] = {
     + _DEVIATION.format(rows="r", columns="tender_id"),
     "report_states": """SELECT * FROM (VALUES ('nobody', 'empty', false), ('monopoly', 'missing_parameter', NULL),
         ('prices', 'ok', true)) t(report, status, names_no_party) WHERE EXISTS (SELECT 1 FROM orders)""",
-    "vector_knn_approx": "SELECT count(DISTINCT label) AS n_queries, true AS recall_is_enough FROM embeddings",
+    "vector_knn_all_lists": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
+        d AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_cosine_distance(q.v, c.v), 9) AS distance
+              FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d)
+        SELECT query_id, rank, id, round(distance, 6) AS distance FROM r WHERE rank <= 5""",
     "touched_rows": "SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "missing_rows": """SELECT DISTINCT l_orderkey FROM lineitem
         WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""",

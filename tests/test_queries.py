@@ -16,10 +16,11 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(ORACLES)
+    # An approximate search may miss rows; its recall is measured in test_vectors.py.
+    assert set(QUERIES) - {"vector_knn_approx"} == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", list(ORACLES))
 def test_query(spark, con, name):
     assert compare(spark, con, FOLDER, name) == ""
 

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lotwatch.functions.vectors import cosine_distance, unit
-from lotwatch.operators import embedding, neighbours
+from lotwatch.operators import embedding, inverted, neighbours
+from lotwatch.plans.star_queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -85,3 +86,47 @@ def test_vector_expressions(spark):
     rows = df.select(unit(F.col("a")).alias("u"), cosine_distance(F.col("a"), F.col("b")).alias("d")).collect()
     assert rows[0].u == pytest.approx([0.6, 0.8]) and rows[0].d == pytest.approx(0.04)
     assert rows[1].u == [0.0, 0.0] and rows[1].d is None
+
+
+@pytest.mark.parametrize("own", [False, True])
+def test_approximate_neighbours_of_all_lists_are_exact(spark, vectors, own):
+    corpus, queries = vectors
+    queries = np.vstack([corpus[:20], np.zeros((1, 16), "float32")] if own else [queries, np.zeros((1, 16), "float32")])
+    c, q = frames(spark, corpus, queries)
+    hits = inverted.approximate_neighbours(c, q, 5, own_id=F.col("query_id") if own else None, probes=10**6)
+    assert {(r.query_id, r.id, r.rank) for r in hits.collect()} == brute(corpus, queries, 5, list(range(21)) if own else None)
+
+
+def test_approximate_neighbours_of_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.1]), (4, None), (5, []), (6, [float("nan"), 1.0]), (7, [1.0]), (8, [None, 1.0])]
+    c = spark.createDataFrame(rows, "id long, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0]), (3, None), (4, [1.0, 2.0, 3.0])], "query_id long, embedding array<double>")
+    hits = inverted.approximate_neighbours(c, q, 2, probes=10)
+    assert sorted((r.query_id, r["rank"], r.id) for r in hits.collect()) == [(1, 1, 1), (1, 2, 3), (2, 1, 7)]
+    for some, others in ((c.limit(0), q), (c, q.limit(0))):
+        assert inverted.approximate_neighbours(some, others, 2).count() == 0
+
+
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_recall_of_approximate_neighbours(spark, folder):
+    c = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet").withColumnRenamed("vec_id", "id")
+    q = c.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+    exact = {(r.query_id, r.id) for r in neighbours.nearest_neighbours(c, q, 5, own_id=F.col("query_id")).collect()}
+    near = QUERIES["vector_knn_approx"](spark, f"/root/testdata/{folder}").collect()
+    found = {(r.query_id, r.id) for r in near}
+    print(folder, "recall", len(exact & found) / len(exact))
+    assert len(found) == len(exact) and len(exact & found) >= 0.9 * len(exact)
+
+
+def test_lists_grow_with_the_corpus_and_few_are_read_where_vectors_cluster(spark):
+    rng = np.random.default_rng(5)
+    sizes, read = [], []
+    for n in (400, 1600):
+        centres = rng.normal(size=(n // 20, 16))
+        corpus = (np.repeat(centres, 20, axis=0) + 0.05 * rng.normal(size=(n, 16))).astype("float32")
+        index = inverted.build_index(frames(spark, corpus, corpus[:1])[0], 5)
+        cells, lists = inverted.lists_to_read(index, 5)
+        sizes.append(index.n_lists)
+        read.append(lists / index.n_lists)
+        assert index.members.select("id").distinct().count() == n
+    assert sizes[1] > 1.7 * sizes[0] and max(read) < 0.3
