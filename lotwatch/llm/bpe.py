@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lotwatch.llm.rows import map_column
+from lotwatch.llm.rows import map_column, remembering
 
 # White space of the splitting pattern, and the pattern itself.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -273,6 +273,7 @@ def bpe_encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", k
     """
 
     def make(values: list) -> list[Sequence]:
+        remembering("bpe", tree_encoder.cache_clear)
         return [tree_encoder(path)(values)]
 
     return map_column(df, text, make, {ids: (T.BinaryType(), pa.binary())}, keep)

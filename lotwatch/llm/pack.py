@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lotwatch.llm.bpe import tree_encoder
-from lotwatch.llm.rows import slices
+from lotwatch.llm.rows import remembering, slices
 from lotwatch.session import stored
 
 # Parts of texts an encoding worker remembers; it has a core to itself, so more than a chain of workers may.
@@ -58,6 +58,7 @@ def token_pieces(
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembering("bpe", tree_encoder.cache_clear)
         encode = tree_encoder(path, REMEMBERED_PARTS)
         for batch in batches:
             for part in slices(batch, len(carried)):

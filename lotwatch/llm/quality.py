@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotwatch.llm.rows import map_column
+from lotwatch.llm.rows import map_column, remembering
 
 # Rows the fit takes at most of each kind, chosen by a hash of the id.
 POSITIVES, UNLABELLED = 6_000, 12_000
@@ -69,6 +69,7 @@ _shapes = _Shapes()
 
 def features(text: str | None) -> np.ndarray:
     """Features of a whole text; the empty text has those of no words."""
+    remembering("quality", _shapes.clear)
     text = text or ""
     words, lines = text.split(), text.split("\n")
     out = np.zeros(SIZE, np.float32)

@@ -26,6 +26,19 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
+_remembered: dict[str, Callable[[], None]] = {}
+
+
+def remembering(name: str, forget: Callable[[], None]) -> None:
+    """A Python worker is used by one operator after another: what it remembers for others than ``name`` goes.
+
+    Within an operator it stays from task to task.  Only memory depends on it, no result.
+    """
+    for other in [n for n in _remembered if n != name]:
+        _remembered.pop(other)()
+    _remembered[name] = forget
+
+
 def map_column(
     df: DataFrame,
     column: str,

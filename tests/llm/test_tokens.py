@@ -134,3 +134,16 @@ def test_pieces_and_sequences_hold_the_ids(spark, library):
     rows = pack.packed_sequences(packed).collect()
     assert sum(r["n_ids"] for r in rows) == sum(len(x) // 4 for x in whole.values()) and max(r["n_ids"] for r in rows) <= 64
     assert pack.token_pieces(df.limit(0), BYTE_BPE).count() == 0
+
+
+def test_a_worker_forgets_what_it_remembered_for_another_operator():
+    from lotwatch.llm import rows
+
+    gone = []
+    rows.remembering("a", lambda: gone.append("a"))
+    rows.remembering("a", lambda: gone.append("a"))
+    assert gone == []
+    rows.remembering("b", lambda: gone.append("b"))
+    rows.remembering("a", lambda: gone.append("a"))
+    assert gone == ["a", "b"]
+    rows.remembering("end", lambda: None)
