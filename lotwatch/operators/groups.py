@@ -21,11 +21,33 @@ from lotwatch.session import cut_lineage, stored
 CELLS_PER_E_FOLD = 256.0
 CELLS_PER_REFINEMENT = 4096.0
 VALUES_PER_CELL = 1_000_000
+HOT = 1000
 
 
-def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Give every row the statistics of its group.  Rows with a null key get none."""
-    return df.join(stats, list(keys), "left")
+def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], size: str | None = None, needed: Column | None = None) -> DataFrame:
+    """Give every row the statistics of its group.  Rows with a null key, or not ``needed``, get none.
+
+    ``stats`` has one row per group, and ``size`` names its number of rows (if
+    there is none, adaptive execution is left to split the large groups).  A
+    group with more than one in ``HOT`` of all rows is hot; there cannot be more
+    than ``HOT`` of them, so their statistics are broadcast.  Rows that are done
+    or get nothing are dealt evenly in the join, the others by their key.
+    """
+    names = [c for c in stats.columns if c not in keys]
+    if size is not None:
+        # Looked at three times: for the sum of sizes, the hot groups, and the join.
+        stats = stored(stats, "statistics")
+    is_hot = F.lit(False) if size is None else F.col(size) * HOT > stats.agg(F.sum(size)).scalar()
+    hot = stats.filter(is_hot).select(*keys, F.struct(*names).alias("__hot"))
+    open_rows = F.col("__hot").isNull() & (F.lit(True) if needed is None else F.coalesce(needed, F.lit(False)))
+    for key in keys:
+        open_rows = open_rows & F.col(key).isNotNull()
+    # A second key of the join: a function of the key where it has to meet its group, else a number that no group has.
+    deal = F.when(open_rows, F.xxhash64(*keys)).otherwise(F.monotonically_increasing_id())
+    rows = df.join(F.broadcast(hot), list(keys), "left").withColumn("__deal", deal)
+    met = rows.join(stats.withColumn("__deal", F.xxhash64(*keys)), [*keys, "__deal"], "left")
+    own = [c for c in df.columns if c not in keys]
+    return met.select(*keys, *own, *(F.coalesce(F.col("__hot")[n], F.col(n)).alias(n) for n in names))
 
 
 def _cell(value: Column) -> Column:
@@ -169,7 +191,7 @@ def with_deviation(
     min_n: int = 2,
 ) -> DataFrame:
     """Percentage deviation of each amount from its category's median."""
-    joined = attach(df, statistics, [category])
+    joined = attach(df, statistics, [category], "category_n", F.col(amount).isNotNull())
     gap = F.try_divide(F.col(amount) - F.col("category_median"), F.col("category_median")) * 100
     return joined.withColumn(result, F.when(F.col("category_n") >= min_n, gap)).drop("category_median", "category_n")
 
@@ -187,17 +209,17 @@ def leave_one_out(
 ) -> DataFrame:
     """Mean amount of the other rows of the category, the ratio to it and the anomaly flag."""
     totals = (
-        df.filter(F.col(category).isNotNull() & F.col(amount).isNotNull())
+        df.filter(F.col(category).isNotNull())
         .groupBy(category)
-        .agg(exact_sum(amount).alias("__sum"), F.count(F.lit(1)).alias("__n"))
+        .agg(exact_sum(amount).alias("__sum"), F.count(amount).alias("__n"), F.count(F.lit(1)).alias("__rows"))
     )
     own = F.coalesce(F.col(amount), F.lit(0.0))
     own_n = F.col(amount).isNotNull().cast("int")
     mean = F.try_divide(F.col("__sum") - own, F.col("__n") - own_n)
     return (
-        attach(df, totals, [category])
+        attach(df, totals, [category], "__rows")
         .withColumn("category_avg", mean)
         .withColumn("ratio", ratio(F.col(amount), F.col("category_avg")))
         .withColumn("is_anomaly", F.coalesce(F.col("ratio") >= ratio_limit, F.lit(False)))
-        .drop("__sum", "__n")
+        .drop("__sum", "__n", "__rows")
     )
