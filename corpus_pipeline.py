@@ -31,8 +31,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a five-word similarity of 0.8 or more: the one with the smallest id.
 
-    Fingerprints of 64 bits are too coarse for that similarity; candidates come
-    from min-hash bands, and whole texts are compared (see ``near_copies``).
+    Candidates are the SimHash links of three bits and, as fingerprints of 64
+    bits are too coarse for all of that similarity, those of min-hash bands;
+    whole texts are compared (see ``near_copies``).
     """
     return near_copies.keep_one(docs, width=5, least=0.8)
 

@@ -1,7 +1,9 @@
-"""Near-duplicates of a Jaccard similarity of word shingles, with candidates from min-hash bands.
+"""Near-duplicates of a Jaccard similarity of word shingles, with candidates from SimHash and min-hash bands.
 
-Three-bit SimHash links, which ``simhash`` finds, hold few of the pairs whose
-five-word shingles are 0.8 alike, so the candidates here are others: a text's
+Each text has a SimHash fingerprint of its shingles' hashes, and the links of
+at most three bits, which ``simhash`` finds, are the first candidates: a text
+is compared with the first one of its SimHash component.  Such links hold few
+of the pairs whose five-word shingles are 0.8 alike, so others follow: a text's
 signature is the least of its shingles' hashes under ``BANDS * ROWS``
 permutations, and texts meet where all rows of a band agree.  At the bound of
 0.8, 0.9996 of the pairs meet; more above it.
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lotwatch.llm.rows import map_column
-from lotwatch.llm.simhash import SEED, components
+from lotwatch.llm.simhash import SEED, components, links, majority
 from lotwatch.session import stored
 
 WIDTH = 5
@@ -64,7 +66,10 @@ def hashes_of(text: str | None, width: int = WIDTH) -> np.ndarray:
 
 def signatures(texts: list, width: int = WIDTH) -> np.ndarray:
     """The least of each text's shingle hashes under each permutation, as 32 bits."""
-    parts = [hashes_of(t, width) for t in texts]
+    return _signatures_of([hashes_of(t, width) for t in texts])
+
+
+def _signatures_of(parts: list[np.ndarray]) -> np.ndarray:
     starts = np.cumsum([0, *map(len, parts[:-1])])
     hashes = np.concatenate(parts)
     least = [np.minimum.reduceat(hashes * a + b, starts) for a, b in zip(FACTOR, TERM, strict=True)]
@@ -82,18 +87,31 @@ def band_keys(signed: np.ndarray) -> np.ndarray:
 
 
 def _signed(rows: DataFrame, width: int) -> DataFrame:
-    """``row``, ``sign`` (a byte per place), ``keys`` of ``row``, ``text``."""
+    """``row``, ``sign`` (a byte per place), ``keys``, ``fingerprint`` of ``row``, ``text``."""
 
     def make(texts: list) -> list:
         if not texts:
-            return [[], []]
-        full = signatures(texts, width)
-        return [[s.tobytes() for s in full.astype(np.uint8)], list(band_keys(full))]
+            return [[], [], []]
+        parts = [hashes_of(t, width) for t in texts]
+        full = _signatures_of(parts)
+        prints = np.array([majority(p) for p in parts], np.uint64).view(np.int64)
+        return [[s.tobytes() for s in full.astype(np.uint8)], list(band_keys(full)), prints]
 
-    kinds = {"sign": (T.BinaryType(), pa.binary()), "keys": (T.ArrayType(T.LongType()), pa.list_(pa.int64()))}
+    kinds = {"sign": (T.BinaryType(), pa.binary()), "keys": (T.ArrayType(T.LongType()), pa.list_(pa.int64())), "fingerprint": (T.LongType(), pa.int64())}
     return map_column(rows.select("row", "text"), "text", make, kinds)
 
 
+def _by_simhash(signed: DataFrame) -> DataFrame:
+    """Pairs ``a``, ``b`` of the first row of each SimHash component with its other rows."""
+    different = stored(signed.groupBy("fingerprint").agg(F.min("row").alias("least")), "fingerprints")
+    stars = components(links(different.select("fingerprint")))
+    named = stored(
+        different.join(stars, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")), "roots"
+    )
+    leaders = named.join(named.groupBy("root").agg(F.min("least").alias("a")), "root").select("fingerprint", "a")
+    return signed.select("row", "fingerprint").join(leaders, "fingerprint").filter("row <> a").select("a", F.col("row").alias("b"))
+
+
 def _meetings(signed: DataFrame) -> DataFrame:
     """``key``, ``row`` of the keys that several rows have, with ``n``, how many."""
     each = signed.select(F.explode("keys").alias("key"), "row")
@@ -323,11 +341,13 @@ def similar_rows(rows: DataFrame, width: int = WIDTH, least: float = LEAST) -> D
     """Stars ``node``, ``root`` of rows (``row`` long, ``text``) that links of similarity ``least`` or more connect."""
     signed = stored(_signed(rows, width), "signed")
     met = stored(_meetings(signed), "met")
+    near = stored(_by_simhash(signed), "pairs")
     # Texts that meet no other need not move again.
-    close = stored(rows.select("row", "text").hint("merge").join(met.select("row").distinct(), "row", "left_semi"), "close")
-    tried = stored(_likely(_ordered(_led(met)), signed, least), "pairs")
-    links = stored(_linked(tried, close, width, least), "links")
-    roots = stored(components(links, "a", "b"), "roots")
+    meeting = met.select("row").union(near.select("a")).union(near.select("b")).distinct()
+    close = stored(rows.select("row", "text").hint("merge").join(meeting, "row", "left_semi"), "close")
+    tried = stored(_likely(_ordered(near.unionByName(_led(met))), signed, least), "pairs")
+    linked = stored(_linked(tried, close, width, least), "links")
+    roots = stored(components(linked, "a", "b"), "roots")
     nodes = stored(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "nodes")
     stars = stored(_unconnected(met, nodes, signed, least), "pairs")
     more = stored(_across(stars, nodes, close, width, least), "links")

@@ -53,6 +53,14 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def majority(hashes: np.ndarray) -> np.uint64:
+    """The bits that are set in over half of some hashes."""
+    counts = np.zeros(64, np.int64)
+    for a in range(0, len(hashes), 100_000):
+        counts += np.unpackbits(hashes[a : a + 100_000].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes)).view(">u8")[0]
+
+
 def fingerprints_of(texts: Sequence[str | None], width: int = 3) -> np.ndarray:
     """SimHash of each text as int64: a bit is set if it is set in over half of the shingles' hashes.
 
@@ -66,11 +74,7 @@ def fingerprints_of(texts: Sequence[str | None], width: int = 3) -> np.ndarray:
         if not words:
             continue
         shingles = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))
-        hashes = np.fromiter((hash_of(s, SEED) for s in shingles), np.uint64)
-        counts = np.zeros(64, np.int64)
-        for a in range(0, len(hashes), 100_000):
-            counts += np.unpackbits(hashes[a : a + 100_000].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out[i] = np.packbits(2 * counts > len(hashes)).view(">u8")[0]
+        out[i] = majority(np.fromiter((hash_of(s, SEED) for s in shingles), np.uint64))
     return out.view(np.int64)
 
 
