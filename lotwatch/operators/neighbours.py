@@ -23,7 +23,7 @@ from lotwatch import fixed_values as fixed
 from lotwatch.functions.text import escape_markdown, markdown_link
 from lotwatch.operators.groups import exact_quantiles
 from lotwatch.operators.versions import first_rows
-from lotwatch.session import cut_lineage, stored
+from lotwatch.session import stored
 
 # Vectors of a packed block.
 QUERY_BLOCK, CORPUS_BLOCK = 512, 4096
@@ -219,7 +219,8 @@ def semantic_search(
 
     ``corpus`` is a vector table whose ``metadata`` JSON names record and title.
     """
-    found = cut_lineage(nearest_neighbours(corpus, queries, k))
+    # As tables their sizes are known: few hits need not move every text.
+    found = stored(nearest_neighbours(corpus, queries, k), "found")
     details = corpus.select(
         "id",
         "document",
@@ -227,7 +228,7 @@ def semantic_search(
         F.get_json_object("metadata", f"$.{title}").alias("record_title"),
     )
     # Computed once; context and sources read it again.
-    hits = cut_lineage(details.join(found, "id"))
+    hits = stored(details.join(found, "id"), "hits")
     line = source_line(F.col("record_id"), F.col("distance"), F.col("record_title"), base_url)
     lines = F.array_sort(F.collect_list(F.struct("rank", line.alias("text"))))
     sources = relevant_hits(hits, threshold).groupBy("query_id").agg(
