@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from lotwatch import fixed_values as fixed
 from lotwatch.functions.text import contains_any
+from lotwatch.functions.values import once
 from lotwatch.operators.versions import last_arrival, latest_version
 from lotwatch.schema import RAW_DOCUMENT, RAW_FIELDS
 
 WHITE_SPACE = " \t\r\n\f\v"
-_WIDE = f"{RAW_DOCUMENT[:-1]}, data: {RAW_DOCUMENT}, _corrupt: STRING>"
+_BARE = f"{RAW_DOCUMENT[:-1]}, _corrupt: STRING>"
+_WRAPPED = f"STRUCT<data: {RAW_DOCUMENT}, _corrupt: STRING>"
+_CORRUPT = {"columnNameOfCorruptRecord": "_corrupt"}
 
 
 def read_raw(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
@@ -29,6 +32,13 @@ def read_raw_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _framed(body: str) -> Column:
+    """Whether a text is in braces but for white space; a whole text is trimmed only if it has some at its ends."""
+    text = F.col(body)
+    trimmed = F.btrim(text, F.lit(WHITE_SPACE))
+    return F.when(text.startswith("{") & text.endswith("}"), F.lit(True)).otherwise(trimmed.startswith("{") & trimmed.endswith("}"))
+
+
 # What a landing keeps of each document, and the day it was modified on, by which it is partitioned.
 LANDED = "source_file string, body string, document_id string, modified timestamp, body_hash bigint, day date"
 _FRAME = "id STRING, dateModified STRING"
@@ -40,7 +50,7 @@ def with_frame(raw: DataFrame) -> DataFrame:
     Read from the outermost fields only.  Where they cannot be read as usual,
     id and date are null, and the document is left to the full parse.
     """
-    framed = F.from_json("body", f"STRUCT<{_FRAME}, data: STRUCT<{_FRAME}>, _corrupt: STRING>", {"columnNameOfCorruptRecord": "_corrupt"})
+    framed = F.from_json("body", f"STRUCT<{_FRAME}, data: STRUCT<{_FRAME}>, _corrupt: STRING>", _CORRUPT)
     rows = raw.withColumn("__frame", framed)
     frame = F.col("__frame")
     regular = frame["_corrupt"].isNull() & F.btrim("body", F.lit(WHITE_SPACE)).endswith("}")
@@ -76,20 +86,20 @@ def parse_documents(raw: DataFrame) -> DataFrame:
     wrapped as ``{"data": {...}}`` is unwrapped when it has no id of its own.
     Nothing is dropped here, so good rows and rejects come from one pass.
 
-    One typed parse serves the regular documents.  Only those in which it met
-    something unexpected are parsed a second time without types, to tell a
+    One typed parse serves the regular documents, and a second one those without
+    an id of their own, which may be wrapped.  Only those in which it met
+    something unexpected are parsed once more without types, to tell a
     container that is merely empty from one that is wrong.
     """
     # Each step names its result, so a later one does not repeat it.
-    text = F.btrim("body", F.lit(WHITE_SPACE))
-    framed = text.startswith("{") & text.endswith("}")
-    steps = raw.select("*", F.from_json("body", _WIDE, {"columnNameOfCorruptRecord": "_corrupt"}).alias("__typed"))
-    typed, odd = F.col("__typed"), F.col("__odd")
-    steps = steps.select("*", F.coalesce(typed.isNull() | typed["_corrupt"].isNotNull() | ~framed, F.lit(True)).alias("__odd"))
+    steps = raw.select("*", F.from_json("body", _BARE, _CORRUPT).alias("__typed"))
+    typed, wrapped, odd = F.col("__typed"), F.col("__wrapped"), F.col("__odd")
+    steps = steps.select("*", F.when(typed["id"].isNull(), F.from_json("body", _WRAPPED, _CORRUPT)).alias("__wrapped"))
+    unexpected = typed.isNull() | typed["_corrupt"].isNotNull() | wrapped["_corrupt"].isNotNull()
+    steps = steps.select("*", F.coalesce(unexpected | ~_framed("body"), F.lit(True)).alias("__odd"))
     steps = steps.select("*", F.when(odd, F.try_parse_json("body")).alias("__parsed"))
     steps = steps.select("*", _unwrapped(F.col("__parsed")).alias("__loose"))
-    # The explode of a single element keeps pushed-down filters from repeating the parse.
-    rows = steps.select(*raw.columns, F.explode(F.array(_judged(typed, odd, F.col("__loose")))).alias("judged"))
+    rows = steps.select(*raw.columns, once(_judged(typed, wrapped["data"], odd, F.col("__loose"))).alias("judged"))
     return rows.select(
         *raw.columns, "judged.doc", F.col("judged.doc.id").alias("tender_id"), F.col("judged.reject_reason").alias("reject_reason")
     )
@@ -101,13 +111,13 @@ def _unwrapped(parsed: Column) -> Column:
     return F.when(wrapped, inner).otherwise(parsed)
 
 
-def _judged(typed: Column, odd: Column, loose: Column) -> Column:
+def _judged(typed: Column, inner: Column, odd: Column, loose: Column) -> Column:
     """The document and the reason to reject it, null for a good one."""
     bare = F.struct(*(typed[name].alias(name) for name in RAW_FIELDS))
-    regular = F.when(typed["id"].isNull() & typed["data"].isNotNull(), typed["data"]).otherwise(bare)
+    regular = F.when(typed["id"].isNull() & inner.isNotNull(), inner).otherwise(bare)
     doc = F.when(odd, F.try_variant_get(loose, "$", RAW_DOCUMENT)).otherwise(regular)
     odd_id = F.try_variant_get(loose, "$.id", "string")
-    doc_id = F.when(odd, odd_id).otherwise(F.coalesce(typed["id"], typed["data"]["id"]))
+    doc_id = F.when(odd, odd_id).otherwise(F.coalesce(typed["id"], inner["id"]))
     reason = (
         F.when(odd & loose.isNull(), F.lit("unreadable"))
         .when(odd & ~_is_object(loose, "$"), F.lit("not an object"))
