@@ -144,9 +144,10 @@ def lists_to_read(index: Index, k: int, recall: float = RECALL, trials: int = TR
 def search(index: Index, asked: DataFrame, k: int, cells: int, probes: int) -> DataFrame:
     """The best ``k`` rows per query (``query_id, own_id, vector``) among its nearest ``probes`` lists of its nearest ``cells`` cells."""
     chosen = _nearest_lists(index, asked, cells, probes).select("query_id", "part").join(asked, "query_id")
-    # Rebalancing splits the parts of a list that many rows or queries share.
-    questions = packed(chosen.hint("rebalance", F.col("part")), QUERY_BLOCK, ["query_id", "own_id"]).withColumnRenamed("matrix", "q_matrix")
-    blocks = _code_blocks(index.members.hint("rebalance", F.col("part")))
+    # Rebalancing splits the parts of a list that many rows or queries share; sorted, a task packs one list at a time.
+    by_list = lambda rows: rows.hint("rebalance", F.col("part")).sortWithinPartitions("part")
+    questions = packed(by_list(chosen), QUERY_BLOCK, ["query_id", "own_id"]).withColumnRenamed("matrix", "q_matrix")
+    blocks = _code_blocks(by_list(index.members))
     near = stored(_look(blocks.join(questions, ["part", "dim"]), k), "near")
     bound = first_rows(near, ["query_id"], [F.col("upper"), F.col("id")], k).groupBy("query_id").agg(F.max("upper").alias("bound"))
     kept = near.join(bound, "query_id").filter(F.col("lower") <= F.col("bound")).select("query_id", "id")
@@ -240,7 +241,7 @@ def _nearest_lists(index: Index, asked: DataFrame, cells: int, probes: int) -> D
 
 
 def _code_blocks(members: DataFrame) -> DataFrame:
-    """Members of a list in blocks."""
+    """Members of a list in blocks; of rows sorted by list a task holds one list's."""
     kind = members.schema["id"].dataType
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("dim", T.IntegerType()), T.StructField("id", T.ArrayType(kind))]
                           + [T.StructField(c, T.BinaryType()) for c in ("codes", "scales", "errors")])
@@ -253,8 +254,13 @@ def _code_blocks(members: DataFrame) -> DataFrame:
             return pd.DataFrame({"part": [key[0]], "dim": [key[1]], "id": [list(ids)], "codes": [b"".join(codes)],
                                  "scales": [np.array(scales, "float64").tobytes()], "errors": [np.array(errors, "float64").tobytes()]})
 
+        last = None
         for batch in batches:
             for part, dim, *rest in batch.itertuples(index=False, name=None):
+                if part != last:
+                    for old, held in waiting.items():
+                        yield block(old, held)
+                    waiting, last = {}, part
                 held = waiting.setdefault((part, dim), [])
                 held.append(tuple(rest))
                 if len(held) == CODE_BLOCK:

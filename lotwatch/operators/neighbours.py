@@ -44,7 +44,11 @@ def unit_rows(vectors) -> np.ndarray:
 
 
 def packed(rows: DataFrame, size: int, names: Sequence[str]) -> DataFrame:
-    """Blocks of rows (``vector`` and ``names``) that share ``part`` and dimension; ids stay arrays."""
+    """Blocks of rows (``vector`` and ``names``) that share ``part`` and dimension; ids stay arrays.
+
+    A block goes out when it is full or another part begins, so of rows sorted
+    by part a task holds one part's.
+    """
     kinds = {f.name: f.dataType for f in rows.schema.fields}
     schema = T.StructType(
         [T.StructField("part", T.IntegerType()), T.StructField("dim", T.IntegerType()), *(T.StructField(n, T.ArrayType(kinds[n])) for n in names), T.StructField("matrix", T.BinaryType())]
@@ -60,10 +64,17 @@ def packed(rows: DataFrame, size: int, names: Sequence[str]) -> DataFrame:
             return pa.RecordBatch.from_arrays([*columns, pa.array([matrix.tobytes()], pa.binary())], names=schema.names)
 
         arrow: dict[str, pa.DataType] = {}
+        last = None
         for batch in batches:
             arrow = {n: batch.schema.field(n).type for n in names}
-            columns = [batch.column(n).to_pylist() for n in ("part", *names, "vector")]
-            for part, *rest in zip(*columns, strict=True):
+            columns = [batch.column(n).to_pylist() for n in ("part", *names)]
+            # A vector stays an array: as a list it would take four times the room.
+            vectors = (v.values.to_numpy(zero_copy_only=False).copy() for v in batch.column("vector"))
+            for part, *rest in zip(*columns, vectors, strict=True):
+                if part != last:
+                    for old, held in waiting.items():
+                        yield block(old, held)
+                    waiting, last = {}, part
                 key = (part, len(rest[-1]))
                 held = waiting.setdefault(key, [])
                 held.append(tuple(rest))
