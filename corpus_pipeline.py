@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lotwatch.llm import exact_dedup, near_copies, quality
+from lotwatch.llm.pack import REMEMBERED_AFTER_STAGES
 from lotwatch.llm.queries import packed
 from lotwatch.session import stored
 
@@ -40,7 +41,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A place for each piece of at most 2048 tokens of every document left."""
-    return packed(docs)
+    return packed(docs, REMEMBERED_AFTER_STAGES)
 
 
 STAGES = [

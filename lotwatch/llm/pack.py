@@ -25,11 +25,13 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lotwatch.llm.bpe import tree_encoder
-from lotwatch.llm.rows import remembering, slices
+from lotwatch.llm.rows import give_back, remembering, slices
 from lotwatch.session import stored
 
 # Parts of texts an encoding worker remembers; it has a core to itself, so more than a chain of workers may.
 REMEMBERED_PARTS = 500_000
+# After other stages an executor's JVM has grown and leaves its workers less room.
+REMEMBERED_AFTER_STAGES = 50_000
 # Items packed by one task of the first round: about 100 MB with what they carry.
 ITEMS_PER_TASK = 250_000
 # Tasks whose bins meet in the next round.
@@ -39,7 +41,8 @@ NEARLY_FULL = 16
 
 
 def token_pieces(
-    df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, text: str = "text", keep: Sequence[str] | None = None
+    df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, text: str = "text", keep: Sequence[str] | None = None,
+    remembered: int = REMEMBERED_PARTS,
 ) -> DataFrame:
     """Token ids of each text and ``end_id``, cut into pieces of at most ``capacity``.
 
@@ -48,7 +51,7 @@ def token_pieces(
     longer documents are cut, and only their first piece may be shorter.  A
     null or empty text is the end id alone.  Repeated rows give repeated
     pieces; columns in ``keep`` (all but the text, if not given) stay, save
-    those named like an output.
+    those named like an output.  ``remembered`` bounds memory only.
     """
     outputs = ["piece", "start", "length", "ids"]
     carried = [c for c in (df.columns if keep is None else keep) if c != text and c not in outputs]
@@ -59,7 +62,7 @@ def token_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remembering("bpe", tree_encoder.cache_clear)
-        encode = tree_encoder(path, REMEMBERED_PARTS)
+        encode = tree_encoder(path, remembered)
         for batch in batches:
             for part in slices(batch, len(carried)):
                 rows, pieces, starts, lengths, parts = [], [], [], [], []
@@ -78,6 +81,7 @@ def token_pieces(
                 yield pa.RecordBatch.from_arrays(
                     [*(c.take(at) for c in part.columns[:-1]), *made, pa.array(parts, pa.binary())], names=[*carried, *outputs]
                 )
+        give_back()
 
     return source.mapInArrow(run, schema)
 
