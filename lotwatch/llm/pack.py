@@ -62,25 +62,23 @@ def token_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remembering("bpe", tree_encoder.cache_clear)
-        encode = tree_encoder(path, remembered)
+        encoder = tree_encoder(path, remembered)
         for batch in batches:
             for part in slices(batch, len(carried)):
-                rows, pieces, starts, lengths, parts = [], [], [], [], []
-                for row, ids in enumerate(encode(part.column(len(carried)).to_pylist())):
-                    ids += end
-                    n = len(ids) // 4
-                    cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
-                    for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        rows.append(row)
-                        pieces.append(k)
-                        starts.append(x)
-                        lengths.append(y - x)
-                        parts.append(ids[4 * x : 4 * y])
-                at = pa.array(rows, pa.int64())
-                made = [pa.array(x, pa.int64()) for x in (pieces, starts, lengths)]
-                yield pa.RecordBatch.from_arrays(
-                    [*(c.take(at) for c in part.columns[:-1]), *made, pa.array(parts, pa.binary())], names=[*carried, *outputs]
-                )
+                ids = encoder.encode(part.column(len(carried)), end)
+                ends = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1).astype(np.int64) // 4
+                n = np.diff(ends)
+                counts = -(-n // capacity)
+                rows = np.arange(len(n)).repeat(counts)
+                pieces = np.arange(len(rows)) - (np.cumsum(counts) - counts).repeat(counts)
+                firsts = (n - (counts - 1) * capacity)[rows]
+                starts = np.where(pieces > 0, firsts + (pieces - 1) * capacity, 0)
+                # Pieces lie one after another in the ids of their documents.
+                cuts = np.append(ends[rows] + starts, ends[-1]) * 4
+                parts = pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(cuts.astype(np.int32)), ids.buffers()[2]])
+                at = pa.array(rows)
+                made = [pa.array(x, pa.int64()) for x in (pieces, starts, np.where(pieces > 0, capacity, firsts))]
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in part.columns[:-1]), *made, parts], names=[*carried, *outputs])
         give_back()
 
     return source.mapInArrow(run, schema)
