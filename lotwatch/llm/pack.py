@@ -25,13 +25,15 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lotwatch.llm.bpe import tree_encoder
-from lotwatch.llm.rows import give_back, remembering, slices
+from lotwatch.llm.rows import SLICE_BYTES, give_back, remembering, slices
 from lotwatch.session import stored
 
 # Parts of texts an encoding worker remembers; it has a core to itself, so more than a chain of workers may.
 REMEMBERED_PARTS = 500_000
 # After other stages an executor's JVM has grown and leaves its workers less room.
 REMEMBERED_AFTER_STAGES = 50_000
+# Bytes of text encoded at once for each part that may be remembered; the more, the fewer look-ups of parts.
+TEXT_PER_PART = 24
 # Items packed by one task of the first round: about 100 MB with what they carry.
 ITEMS_PER_TASK = 250_000
 # Tasks whose bins meet in the next round.
@@ -64,7 +66,7 @@ def token_pieces(
         remembering("bpe", tree_encoder.cache_clear)
         encoder = tree_encoder(path, remembered)
         for batch in batches:
-            for part in slices(batch, len(carried)):
+            for part in slices(batch, len(carried), max(SLICE_BYTES, TEXT_PER_PART * remembered)):
                 ids = encoder.encode(part.column(len(carried)), end)
                 ends = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1).astype(np.int64) // 4
                 n = np.diff(ends)

@@ -60,3 +60,11 @@ def test_every_letter_and_any_white_space_as_the_library_has_it():
     for a in range(0, len(texts), 100):
         part = texts[a : a + 100]
         assert encoder.encode(pa.array(["", *part], pa.string()).slice(1), b"1234").to_pylist() == [_ids(library, t) + b"1234" for t in part]
+
+
+def test_words_of_all_widths_beside_each_other():
+    library = Tokenizer.from_file(BYTE_BPE)
+    rnd = random.Random(4)
+    texts = ["x " + " ".join("".join(rnd.choices("etaoin", k=k)) for k in (1, 2, 3, 63, 64, 65, 127, 128, 129)) for _ in range(20)]
+    texts.append("x " + "".join(rnd.choices("etaoinshr", k=40_000)))
+    assert bpe.tree_encoder(BYTE_BPE)(texts) == [_ids(library, t) for t in texts]
