@@ -102,6 +102,18 @@ def test_nearest_with_ties_repeats_and_odd_vectors(spark, blocks):
     assert vectors.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_queries_come_in_passes_and_are_not_multiplied_by_shares(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=4).round(1).tolist()) for i in range(0, 900, 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for size in (None, 100):
+        if size:
+            monkeypatch.setattr(vectors, "PASS_BYTES", size)
+        found = vectors.top_k(df, F.col("vec_id") % 100 == 0, block_vectors=16, block_queries=1)
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, found.collect())) == _nearest(rows)
+
+
 def test_bounds_hold_for_every_cell():
     rng = np.random.default_rng(0)
     exact = rng.integers(-5000, 5000, (300, 8))
